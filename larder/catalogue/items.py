@@ -36,10 +36,10 @@ def item_quantity(t):
     return rounded(food_groups.item_quantity(t.cons(), t.hh()))
 
 
-@query("item_energy", VIEWS, f"SELECT item_code, food_group, round(energy_kcal, 4) AS energy_kcal FROM {ENERGY}")
+@query("item_energy", VIEWS, f"SELECT item_code, food_group, round(energy_kcal, 6) AS energy_kcal FROM {ENERGY}")
 def item_energy(t):
     items = food_groups.item_energy(food_groups.item_quantity(t.cons(), t.hh()), t.fct())
-    return rounded(items.select("item_code", "food_group", "energy_kcal"), 4)
+    return rounded(items.select("item_code", "food_group", "energy_kcal"), 6)
 
 
 @query("food_group_regroup", VIEWS, f"SELECT item_code, food_group, food_group_new FROM {ENERGY}")

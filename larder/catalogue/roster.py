@@ -75,9 +75,9 @@ def household_information(t):
 
 
 @query("consumption_per_hh", "per_hh", """
-    SELECT hhid, round(cons_aeq_adj, 3) AS cons_aeq_adj, round(exp_aeq_month, 3) AS exp_aeq_month FROM per_hh""")
+    SELECT hhid, round(cons_aeq_adj, 5) AS cons_aeq_adj, round(exp_aeq_month, 5) AS exp_aeq_month FROM per_hh""")
 def consumption_per_hh(t):
-    return rounded(wealth.consumption_per_hh(t.cons_agg(), t.persons()), 3)
+    return rounded(wealth.consumption_per_hh(t.cons_agg(), t.persons()), 5)
 
 
 def _per_hh(t):
@@ -102,7 +102,7 @@ def quintile_by_residence(t):
     SELECT '{SURVEY}' AS survey, h.hhid, '{ISO3}' AS iso3, CAST(NULL AS VARCHAR) AS zone, h.adm1,
            CAST(NULL AS VARCHAR) AS adm2, CAST(NULL AS VARCHAR) AS ea, h.res, q.sep_quintile, q.res_quintile,
            h.year, h.month, round(h.survey_wgt, 4) AS survey_wgt, round(h.afe, 6) AS afe,
-           round(q.exp_aeq_month, 3) AS pc_expenditure
+           round(q.exp_aeq_month, 5) AS pc_expenditure
     FROM hh_info h LEFT JOIN (
         SELECT p.hhid, p.exp_aeq_month, CAST(ntile(5) OVER (ORDER BY p.cons_aeq_adj, p.hhid) AS INTEGER) AS sep_quintile,
                CAST(ntile(5) OVER (PARTITION BY i.res ORDER BY p.cons_aeq_adj, p.hhid) AS INTEGER) AS res_quintile
@@ -110,7 +110,7 @@ def quintile_by_residence(t):
 def household_table(t):
     hh = afe.household_information(_people(t))
     done = wealth.finalise_households(hh, wealth.with_quintiles(_per_hh(t), hh), ISO3, SURVEY)
-    return rounded(rounded(rounded(done, 4, "survey_wgt"), 6, "afe"), 3, "pc_expenditure")
+    return rounded(rounded(rounded(done, 4, "survey_wgt"), 6, "afe"), 5, "pc_expenditure")
 
 
 @query("afe_vs_size", "kcal people", """
