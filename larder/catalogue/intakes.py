@@ -21,6 +21,7 @@ from larder.operators.intake import apparent_intake, base_model
 from larder.operators.joins import na_join
 from larder.operators.ordering import ntile_exact
 from larder.operators.survey import SurveyDesign, gap, interaction, long, quintile_label
+from larder.plans.reports import region_report
 from larder.sources.adapters import DROP_REGIONS, ISO3, RESPELL, SURVEY
 from larder.sources.tables import Survey
 
@@ -260,6 +261,14 @@ def mar4_by_region(t):
     return indicators.mar_prevalence(_intake(t, nutrients, W, "adm1"), W, nutrients, ["adm1"])
 
 
+@query("region_report", "described", "SELECT adm1, "
+       + ", ".join(f"round_even({s_wmean(s_flag(n))} * 100, 0) AS {indicators.short_name(n)}" for n in CUT)
+       + f", round_even(avg({s_iron('fe_mg')}) * 100, 0) AS fe_inadequacy, "
+       + f"round_even({s_wmean(f'CAST({s_mar(CORE)} < 0.75 AS INTEGER)')} * 100, 1) AS mar FROM described GROUP BY adm1")
+def q_region_report(t):
+    return region_report(_intake(t, CORE, W, "adm1"), W)
+
+
 # --- regions ----------------------------------------------------------------------
 
 @query("conform_regions", "hh", """

@@ -50,17 +50,27 @@ def children_group(t):
     return afe.children(people, afe.under2(people)).select("hhid", "roster_id", "sex", "age")
 
 
-def _kcal(name, grp, expression):
-    @query(name, "kcal", f"SELECT hhid, roster_id, round(kcal, 4) AS kcal FROM kcal WHERE grp = '{grp}'")
-    def run(t):
-        people = afe.with_person_afe(_people(t)).filter(F.col("grp") == grp)
-        return rounded(people.select("hhid", "roster_id", expression().alias("kcal")), 4)
-    return run
+def _kcal_sql(grp):
+    return f"SELECT hhid, roster_id, round(kcal, 4) AS kcal FROM kcal WHERE grp = '{grp}'"
 
 
-kcal_under2 = _kcal("kcal_under2", "under2", lambda: afe.kcal_under2(afe.age_months()))
-kcal_children = _kcal("kcal_children", "child", lambda: afe.kcal_child(F.col("sex"), F.col("age")))
-kcal_adults = _kcal("kcal_adults", "adult", lambda: afe.kcal_adult(F.col("sex"), F.col("age")))
+@query("kcal_under2", "kcal", _kcal_sql("under2"))
+def kcal_under2(t):
+    people = afe.under2(_people(t))
+    return people.select("hhid", "roster_id", F.round(afe.kcal_under2(F.col("age_months")), 4).alias("kcal"))
+
+
+@query("kcal_children", "kcal", _kcal_sql("child"))
+def kcal_children(t):
+    people = _people(t)
+    children = afe.children(people, afe.under2(people))
+    return children.select("hhid", "roster_id", F.round(afe.kcal_child(F.col("sex"), F.col("age")), 4).alias("kcal"))
+
+
+@query("kcal_adults", "kcal", _kcal_sql("adult"))
+def kcal_adults(t):
+    people = afe.adults(_people(t))
+    return people.select("hhid", "roster_id", F.round(afe.kcal_adult(F.col("sex"), F.col("age")), 4).alias("kcal"))
 
 
 @query("household_afe", "hh_afe", "SELECT hhid, round(afe, 6) AS afe FROM hh_afe")

@@ -137,15 +137,18 @@ def with_person_afe(df: DataFrame, fix_f15: bool = False) -> DataFrame:
 def household_afe(df: DataFrame, unique_person: bool = True, fix_f15: bool = False) -> DataFrame:
     """AFE per household with at least one person in an age group."""
     if unique_person:
-        people = with_person_afe(df, fix_f15).filter(F.col("grp").isNotNull()).select("hhid", "afe")
-    else:
-        u2 = under2(df)
-        sex, age = F.col("sex"), F.col("age")
-        people = (
-            u2.select("hhid", person_afe(kcal_under2(F.col("age_months"))).alias("afe"))
-            .unionByName(children(df, u2).select("hhid", person_afe(kcal_child(sex, age, fix_f15)).alias("afe")))
-            .unionByName(adults(df).select("hhid", person_afe(kcal_adult(sex, age)).alias("afe")))
-        )
+        # Households are filtered after the sum: a filter on the group would be pushed
+        # down to the scan as one long CASE and be evaluated twice.
+        sums = with_person_afe(df, fix_f15).groupBy("hhid").agg(
+            F.count("grp").alias("_n"), total(F.col("afe")).alias("afe"))
+        return sums.filter(F.col("_n") > 0).drop("_n")
+    u2 = under2(df)
+    sex, age = F.col("sex"), F.col("age")
+    people = (
+        u2.select("hhid", person_afe(kcal_under2(F.col("age_months"))).alias("afe"))
+        .unionByName(children(df, u2).select("hhid", person_afe(kcal_child(sex, age, fix_f15)).alias("afe")))
+        .unionByName(adults(df).select("hhid", person_afe(kcal_adult(sex, age)).alias("afe")))
+    )
     return people.groupBy("hhid").agg(total(F.col("afe")).alias("afe"))
 
 

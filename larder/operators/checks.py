@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.operators.ordering import quantiles_exact
+from larder.operators.ordering import quantile_at, ranked
 
 
 def summary_stats(df: DataFrame, col: str, tie: Sequence[str]) -> DataFrame:
-    """Minimum, quartiles, mean, maximum and number missing.
+    """Minimum, quartiles, mean, maximum and number missing, from one evaluation of ``df``.
 
-    Quartiles are exact, by distributed rank; both inputs of the join are single rows.
+    Quartiles are exact, by distributed rank. Missing values are ranked apart and only
+    counted.
     """
-    moments = df.agg(F.min(col).alias("min"), F.avg(col).alias("mean"), F.max(col).alias("max"),
-                     F.count_if(F.col(col).isNull()).alias("n_missing"))
-    quartiles = quantiles_exact(df, col, [0.25, 0.5, 0.75], tie, names=["q1", "median", "q3"])
-    return moments.crossJoin(F.broadcast(quartiles)).select("min", "q1", "median", "mean", "q3", "max", "n_missing")
+    value = df.select(F.col(col), *tie, F.col(col).isNull().alias("_missing"))
+    known = ranked(value, [col, *tie], ["_missing"])
+    at = known.withColumn("_rank", F.when(~F.col("_missing"), F.col("_rank"))).withColumn(
+        "_group_rows", F.when(~F.col("_missing"), F.col("_group_rows")))
+    return at.agg(
+        F.min(col).alias("min"), quantile_at(col, 0.25).alias("q1"), quantile_at(col, 0.5).alias("median"),
+        F.avg(col).alias("mean"), quantile_at(col, 0.75).alias("q3"), F.max(col).alias("max"),
+        F.count_if("_missing").alias("n_missing"))
 
 
 def histogram(df: DataFrame, col: str, lo: float = 0, hi: float = 10000, bins: int = 30) -> DataFrame:
@@ -34,15 +39,32 @@ def histogram(df: DataFrame, col: str, lo: float = 0, hi: float = 10000, bins: i
 def mean_by(df: DataFrame, y: str, x: str) -> DataFrame:
     """Mean of ``y`` at each value of ``x``, beside the line through all rows.
 
-    Slope and correlation are one row, joined to every group.
+    Groups and the overall fit come from one scan as two grouping sets; the window then
+    copies the fit to every row of that report.
     """
-    fit = df.agg(F.regr_slope(y, x).alias("slope"), F.corr(y, x).alias("corr"))
-    groups = df.groupBy(x).agg(F.count("*").alias("n"), F.avg(y).alias(f"mean_{y}"))
-    return groups.crossJoin(F.broadcast(fit))
+    rows = df.select(F.col(x).alias("_at"), F.col(x), F.col(y))
+    sets = rows.groupingSets([[F.col("_at")], []], F.col("_at")).agg(
+        F.grouping("_at").alias("_overall"), F.count("*").alias("n"), F.avg(y).alias(f"mean_{y}"),
+        _slope(y, x).alias("_slope"), _correlation(y, x).alias("_corr"))
+    report = Window.partitionBy(F.lit(0))
+    fit = {c: F.max(F.when(F.col("_overall") == 1, F.col(f"_{c}"))).over(report) for c in ("slope", "corr")}
+    return sets.withColumns(fit).filter(F.col("_overall") == 0).select(
+        F.col("_at").alias(x), "n", f"mean_{y}", "slope", "corr")
 
 
 def log_log_fit(df: DataFrame, y: str, x: str, lo: float = 0, hi: float = 20) -> DataFrame:
     """Slope and correlation of ln y on ln x where both lie within [lo, hi]."""
     logs = df.select(F.ln(x).alias("lx"), F.ln(y).alias("ly")).filter(
         F.col("lx").between(lo, hi) & F.col("ly").between(lo, hi))
-    return logs.agg(F.count("*").alias("n"), F.regr_slope("ly", "lx").alias("slope"), F.corr("lx", "ly").alias("corr"))
+    return logs.agg(F.count("*").alias("n"), _slope("ly", "lx").alias("slope"), _correlation("ly", "lx").alias("corr"))
+
+
+def _slope(y: str, x: str) -> Column:
+    """Least-squares slope over rows with both values; NULL, not an error, if x is constant."""
+    known = F.when(F.col(y).isNotNull(), F.col(x))
+    return F.try_divide(F.covar_pop(y, x), F.var_pop(known))
+
+
+def _correlation(y: str, x: str) -> Column:
+    known_x, known_y = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(y, x), F.sqrt(F.var_pop(known_x) * F.var_pop(known_y)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larder import params
 from larder.functions.missing import total
 from larder.operators.joins import na_join
+from larder.sources.staging import stage
 from larder.sources.tables import Survey
 
 GROUPS = ("total", "risk", "not_risk")
@@ -26,11 +27,17 @@ def item_intakes(survey: Survey, flags: DataFrame | None, nutrients: Sequence[st
     quantities are summed first and composition joins one row per item: the facts are
     scanned once for every nutrient and group, and no hot item reaches a join.
     """
-    food = na_join(survey.food.select("hhid", "item_code", "quantity_100g"), survey.hh.select("hhid", "afe"), "hhid")
+    households = survey.hh.select("hhid", "afe")
     if set(groups) - {"total"}:
         if flags is None:
             raise ValueError("risk groups need household flags")
-        food = na_join(food, flags.select("hhid", *[f"{n}_inadequate" for n in nutrients]), "hhid")
+        # Joined household by household, so that the facts meet one table only, and staged:
+        # flags usually come out of a join on the same key, whose partitioning Spark would
+        # reuse, and a side that is not a plain shuffle cannot be split for a hot household.
+        # The stage also has a known size, by which Spark may choose to broadcast it.
+        households = stage(
+            na_join(households, flags.select("hhid", *[f"{n}_inadequate" for n in nutrients]), "hhid"))
+    food = na_join(survey.food.select("hhid", "item_code", "quantity_100g"), households, "hhid")
     quantity = F.when(F.col("afe") > 0, F.try_divide(F.col("quantity_100g"), F.col("afe")))
     sums = []
     if "total" in groups:

@@ -55,21 +55,21 @@ def energy_share(energy: DataFrame, nutritious: Sequence[str] = params.NUTRITIOU
 
     By default the nutritious groups are merged into one and empty groups drop;
     ``breakdown`` keeps only the nutritious groups, each on its own. Either way the
-    base is the energy of all groups, a single row that is joined to every group.
+    base is the energy of all groups. The windows span the reported groups: a handful.
     """
-    overall = energy.agg(F.sum("totalenergy_kcal").alias("_overall"))
+    everything = Window.partitionBy(F.lit(0))
+    energy = energy.withColumn("_overall", F.sum("totalenergy_kcal").over(everything))
     inside = F.col(group).isin(*nutritious)
     if breakdown:
         parts = energy.filter(inside)
     else:
         merged = F.when(inside, F.lit(NUTRITIOUS)).otherwise(F.col(group)).alias(group)
-        parts = (energy.select(merged, "totalenergy_kcal").groupBy(group)
-                 .agg(total(F.col("totalenergy_kcal")).alias("totalenergy_kcal"))
+        parts = (energy.select(merged, "totalenergy_kcal", "_overall").groupBy(group)
+                 .agg(total(F.col("totalenergy_kcal")).alias("totalenergy_kcal"), F.first("_overall").alias("_overall"))
                  .filter(F.col("totalenergy_kcal") > 0))
-    shares = parts.crossJoin(F.broadcast(overall)).withColumn(
+    shares = parts.withColumn(
         "energypct", ratio(100 * F.col("totalenergy_kcal"), F.col("_overall"))).drop("_overall")
-    # One row per reported group: a handful.
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("energypct").desc(), F.col(group))
+    order = everything.orderBy(F.col("energypct").desc(), F.col(group))
     return shares.withColumns({
         "rank": F.row_number().over(order),
         "label": F.concat(F.bround("energypct", 0).cast("bigint").cast("string"), F.lit("%")),

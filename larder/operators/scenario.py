@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from larder import params
 from larder.operators.intake import apparent_intake
 from larder.operators.joins import na_join
+from larder.sources.staging import stage
 from larder.sources.tables import Survey
 
 
@@ -65,5 +66,10 @@ def fortify_all(fct: DataFrame, vehicles: Sequence[Vehicle]) -> DataFrame:
 
 def fortification_scenario(survey: Survey, nutrients: Sequence[str], vehicles: Sequence[Vehicle] = STANDARD_VEHICLES,
                            keep: Sequence[str] = ()) -> DataFrame:
-    """Apparent intake under the scenario."""
-    return apparent_intake(survey.with_fct(fortify_all(survey.fct, vehicles)), nutrients, keep)
+    """Apparent intake under the scenario.
+
+    The fortified composition is staged: its size is then known before consumption is
+    read, so that a small one is broadcast and consumption joins it without a shuffle.
+    """
+    fortified = fortify_all(survey.fct, vehicles).select("item_code", *nutrients)
+    return apparent_intake(survey.with_fct(stage(fortified)), nutrients, keep)

@@ -42,12 +42,12 @@ class SurveyDesign:
         if absent:
             raise ValueError(f"not in the table: {absent}")
 
-    def _weight(self) -> Column:
+    def weights(self) -> Column:
         return F.lit(1.0) if self.weight is None else F.col(self.weight)
 
     def check(self) -> DataFrame:
         """Counts that decide whether the design can be used."""
-        w = self._weight()
+        w = self.weights()
         strata = F.lit(None) if self.strata is None else F.col(self.strata)
         return self.df.agg(
             F.count("*").alias("n_rows"),
@@ -80,7 +80,7 @@ class SurveyDesign:
         A mapping gives output names: ``{variable: name}``.
         """
         names = _names(variables)
-        estimates = [_scaled(weighted_mean(F.col(v), self._weight()), digits, as_percent).alias(n)
+        estimates = [_scaled(weighted_mean(F.col(v), self.weights()), digits, as_percent).alias(n)
                      for v, n in names.items()]
         return self.df.groupBy(*by).agg(*estimates) if by else self.df.agg(*estimates)
 
@@ -95,7 +95,7 @@ class SurveyDesign:
         names = _names(variables)
         grouped = self.df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(
             *[F.grouping(c).alias(f"_over_{c}") for c in overall],
-            *[weighted_mean(F.col(v), self._weight()).alias(n) for v, n in names.items()])
+            *[weighted_mean(F.col(v), self.weights()).alias(n) for v, n in names.items()])
         return grouped.select(
             *[F.when(F.col(f"_over_{c}") == 1, F.lit(overall[c])).otherwise(F.col(c)).alias(c)
               if c in overall else F.col(c) for c in columns],
@@ -117,14 +117,15 @@ class SurveyDesign:
         """
         out = out or variable
         by = list(by)
-        x, w = F.col(variable), self._weight()
+        x, w = F.col(variable), self.weights()
         used = x.isNotNull()
         wx, wu = F.when(used, w * x), F.when(used, w)
         strata = [self.strata] if self.strata else []
         cells = self.df.filter(w.isNotNull()).groupBy(*by, *strata).agg(
             F.count("*").alias("_rows"), F.count(wx).alias("_n"),
             F.avg(wx).alias("_mx"), F.avg(wu).alias("_mw"),
-            F.var_pop(wx).alias("_vx"), F.var_pop(wu).alias("_vw"), F.covar_pop(wx, wu).alias("_c"))
+            F.var_pop(wx).alias("_vx"), F.var_pop(wu).alias("_vw"), F.covar_pop(wx, wu).alias("_c"),
+            F.min(F.when(w.isNotNull(), x)).alias("_low"), F.max(F.when(w.isNotNull(), x)).alias("_high"))
         # From here on: one row per group and stratum.
         one = [F.lit(0)]
         domain = Window.partitionBy(*(by or one))
@@ -134,6 +135,8 @@ class SurveyDesign:
             "_sw": F.sum(F.col("_n") * F.col("_mw")).over(domain),
             "_m": ratio(F.sum(F.col("_n") * F.col("_mx")).over(domain),
                         F.sum(F.col("_n") * F.col("_mw")).over(domain)),
+            # A constant has no spread; rounding would leave a trace of one.
+            "_flat": F.min("_low").over(domain) == F.max("_high").over(domain),
             "_nh": F.sum("_rows").over(stratum),
             "_nall": F.sum("_rows").over(whole),
         })
@@ -148,7 +151,7 @@ class SurveyDesign:
         sum_z2 = F.col("_n") * (spread + mean_z * mean_z)
         sum_z = F.col("_n") * mean_z
         part = ratio(F.col("_nh"), F.col("_nh") - 1) * (sum_z2 - ratio(sum_z * sum_z, F.col("_nh")))
-        cells = cells.withColumn("_part", F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(part))
+        cells = cells.withColumn("_part", F.when((F.col("_n") == 0) | F.col("_flat"), F.lit(0.0)).otherwise(part))
         result = cells.groupBy(*by).agg(
             F.first("_m").alias("_m"), F.first("_sw").alias("_sw"),
             F.when(F.count_if(F.col("_part").isNull()) == 0, F.sum("_part")).alias("_ss"),

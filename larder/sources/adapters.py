@@ -45,12 +45,9 @@ class Tables:
         return self.spark.read.parquet(f"{self.path.rstrip('/')}/{name}.parquet")
 
     def hh(self) -> DataFrame:
-        joined = (self.read("customer")
-                  .join(self.read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-                  .join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey")))
+        joined = self.read("customer").join(self.read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         return joined.select(
             F.col("c_custkey").alias("hhid"), _interview("c_custkey"), F.col("n_name").alias("adm1"),
-            F.col("r_name").alias("zone"),
             F.when(F.col("c_mktsegment").isin(*URBAN_SEGMENTS), F.lit("Urban")).otherwise(F.lit("Rural")).alias("res"),
             (F.col("c_acctbal") + 1000).alias("survey_wgt"),
             (1.0 + (F.col("c_custkey") % 7) * 0.5).alias("afe"), F.col("c_acctbal").alias("pc_expenditure"))
@@ -169,11 +166,12 @@ _N = params.NUTRIENTS
 
 VIEWS: dict[str, tuple[list[str], str]] = {
     "hh": ([], """
-        SELECT c_custkey AS hhid, 'I' || c_custkey AS interview_id, n_name AS adm1, r_name AS zone,
+        SELECT c_custkey AS hhid, 'I' || c_custkey AS interview_id, n_name AS adm1,
                CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'Urban' ELSE 'Rural' END AS res,
                c_acctbal + 1000 AS survey_wgt, CAST(1.0 + (c_custkey % 7) * 0.5 AS DOUBLE) AS afe,
                c_acctbal AS pc_expenditure
-        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""),
+        FROM customer
+        JOIN nation ON c_nationkey = n_nationkey"""),
     "fct": ([], """
         SELECT p_partkey AS item_code, p_name AS item_name, p_type AS food_group,
                p_retailprice / 3 AS energy_kcal,
