@@ -61,9 +61,15 @@ def decode_labels(t):
         ", ".join(params.NUTRIENTS),
         ", ".join(f"('{n}', CAST({v} AS DOUBLE))" for n, v in params.REQUIREMENT.items())))
 def ear_table(t):
-    """Each requirement beside the intakes it is compared with."""
-    long = apparent_intake(t.survey(), params.NUTRIENTS).unpivot(["hhid"], params.NUTRIENTS, "nutrient", "intake")
-    joined = long.join(F.broadcast(params.requirement_frame(t.spark)), "nutrient")
-    return rounded(joined.groupBy("nutrient", "ear_value").agg(
-        F.count("intake").alias("n_households"), F.count_if(F.col("intake") < F.col("ear_value")).alias("n_below"),
-        F.avg("intake").alias("mean_intake")), 4, "mean_intake")
+    """Each requirement beside the intakes it is compared with.
+
+    All nutrients are summed up in one wide aggregate; only its single row is turned long.
+    """
+    intake = apparent_intake(t.survey(), params.NUTRIENTS)
+    wide = intake.agg(*[F.struct(
+        F.lit(n).alias("nutrient"), F.count(n).alias("n_households"),
+        F.count_if(F.col(n) < params.REQUIREMENT[n]).alias("n_below"), F.avg(n).alias("mean_intake")).alias(n)
+        for n in params.NUTRIENTS])
+    rows = wide.select(F.inline(F.array(*params.NUTRIENTS)))
+    joined = params.requirement_frame(t.spark).join(F.broadcast(rows), "nutrient")
+    return rounded(joined, 4, "mean_intake")

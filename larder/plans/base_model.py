@@ -54,7 +54,10 @@ def build(raw: RawSurvey, out: str, iso3: str, survey: str, nutrients: Sequence[
 
     crosswalk = cleaning.crosswalk(raw.roster, with_afe)
     food = cleaning.clean_consumption(raw.diary, raw.portions, crosswalk, iso3, survey, excluded)
-    food_path = write_table(food, f"{out}/consumption", "clean")
+    # Laid out by household: every later stage sums by household, and rows that already
+    # lie together collapse before the shuffle. Ranges on both keys also cut up a household
+    # that fills more than one partition.
+    food_path = write_table(food.repartitionByRange("hhid", "item_code"), f"{out}/consumption", "clean")
 
     loaded = Survey(spark.read.parquet(households_path), spark.read.parquet(food_path), raw.fct)
     intake_path = write_table(base_model(apparent_intake(loaded, nutrients), iso3, survey), f"{out}/intake", "base")

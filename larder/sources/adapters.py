@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder import params
 from larder.operators.scenario import Vehicle
@@ -36,13 +37,20 @@ TYPE_GROUPS = {
 PRICE_SCALE = 953.0
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 @dataclass(frozen=True)
 class Tables:
     spark: SparkSession
     path: str
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path.rstrip('/')}/{name}.parquet")
+        """A table, its footer read once per path: later reads know the schema."""
+        path = f"{self.path.rstrip('/')}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def hh(self) -> DataFrame:
         joined = self.read("customer").join(self.read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
