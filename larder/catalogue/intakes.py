@@ -127,14 +127,14 @@ def s_mean_ci(source, x, by, digits):
 
 # --- intake -----------------------------------------------------------------------
 
-@query("apparent_intake", "intake", f"SELECT hhid, {r(ALL)} FROM intake")
+@query("apparent_intake", "intake", f"SELECT hhid, {r(ALL, 5)} FROM intake")
 def q_apparent_intake(t):
-    return rounded(_intake(t, ALL))
+    return rounded(_intake(t, ALL), 5)
 
 
-@query("base_model", "intake", f"SELECT '{ISO3}' AS iso3, '{SURVEY}' AS survey, hhid, {r(ALL)} FROM intake")
+@query("base_model", "intake", f"SELECT '{ISO3}' AS iso3, '{SURVEY}' AS survey, hhid, {r(ALL, 5)} FROM intake")
 def q_base_model(t):
-    return rounded(base_model(_intake(t, ALL), ISO3, SURVEY))
+    return rounded(base_model(_intake(t, ALL), ISO3, SURVEY), 5)
 
 
 @query("summary_energy", "intake", """

@@ -49,9 +49,9 @@ def _scenario(t, nutrients, *keep):
 
 # All nutrients a vehicle carries must be there, so the composition keeps them all and
 # column pruning drops those a scenario does not use.
-@query("scenario_intake", SCENARIO_VIEWS, f"SELECT hhid, {r(CORE)} FROM {SCENARIO}")
+@query("scenario_intake", SCENARIO_VIEWS, f"SELECT hhid, {r(CORE, 5)} FROM {SCENARIO}")
 def scenario_intake(t):
-    return rounded(_scenario(t, CORE))
+    return rounded(_scenario(t, CORE), 5)
 
 
 @query("scenario_prevalence", SCENARIO_VIEWS, s_prevalence(CUT, 0, SCENARIO, "adm1"))

@@ -37,12 +37,12 @@ def survey_load_counts(t):
 
 @query("write_read_roundtrip", "intake", f"""
     SELECT '{ISO3}' AS iso3, '{SURVEY}' AS survey, CAST(hhid AS VARCHAR) AS hhid,
-           {", ".join(f"round({n}, 6) AS {n}" for n in params.NUTRIENTS)} FROM intake""")
+           {", ".join(f"round({n}, 5) AS {n}" for n in params.NUTRIENTS)} FROM intake""")
 def write_read_roundtrip(t):
     """The base intake table written as a CSV stage and read back with its schema."""
     base = base_model(apparent_intake(t.survey(), params.NUTRIENTS), ISO3, SURVEY)
     target = write_table(base, stage_path(t.spark, "base"), "intake", fmt="csv")
-    return rounded(read_table(t.spark, target, schemas.intake()))
+    return rounded(read_table(t.spark, target, schemas.intake()), 5)
 
 
 @query("decode_labels", "persons region_labels", """
