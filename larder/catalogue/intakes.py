@@ -18,7 +18,6 @@ from larder.functions.nutrition import (
 from larder.functions.stats import PHI_DENOMINATOR, PHI_LIMIT, PHI_NUMERATOR, PHI_SPLIT, ROOT_TWO_PI, Z_975
 from larder.operators import checks, indicators, regions
 from larder.operators.intake import apparent_intake, base_model
-from larder.operators.joins import na_join
 from larder.operators.ordering import ntile_exact
 from larder.operators.survey import SurveyDesign, gap, interaction, long, quintile_label
 from larder.plans.reports import region_report

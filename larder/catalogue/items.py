@@ -138,7 +138,8 @@ def _table(t):
 @query("contrib_delta", "hh cons fct intake", f"""
     WITH shares AS (SELECT * FROM {s_contributions(CORE)})
     SELECT nutrient, item_code, item_name, round(contribution_pct_all, 6) AS contribution_pct_all,
-           round(contribution_pct_risk, 6) AS contribution_pct_risk, round(contribution_pct_not_risk, 6) AS contribution_pct_not_risk,
+           round(contribution_pct_risk, 6) AS contribution_pct_risk,
+           round(contribution_pct_not_risk, 6) AS contribution_pct_not_risk,
            round(contribution_pct_delta, 6) AS contribution_pct_delta FROM {DELTA}""")
 def contrib_delta(t):
     return rounded(_table(t))
@@ -147,7 +148,8 @@ def contrib_delta(t):
 @query("contrib_top5", "hh cons fct intake", f"""
     WITH shares AS (SELECT * FROM {s_contributions(CORE)})
     SELECT nutrient, rank, item_name, round_even(contribution_pct_not_risk, 1) AS contribution_pct_not_risk,
-           round_even(contribution_pct_risk, 1) AS contribution_pct_risk, round_even(contribution_pct_delta, 1) AS contribution_pct_delta
+           round_even(contribution_pct_risk, 1) AS contribution_pct_risk,
+           round_even(contribution_pct_delta, 1) AS contribution_pct_delta
     FROM (SELECT *, CAST(row_number() OVER (PARTITION BY nutrient ORDER BY contribution_pct_delta DESC, item_code, item_name)
                          AS INTEGER) AS rank FROM {DELTA}) WHERE rank <= 5""")
 def contrib_top5(t):

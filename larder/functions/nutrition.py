@@ -58,22 +58,22 @@ def with_mar(df: DataFrame, nutrients: Sequence[str], cut: float = 0.75,
     return scored.withColumn("mar_inadequate", indicator(F.col("mar") < cut))
 
 
-def adequacy_probability(intake: Column, requirement: float, variation: float) -> Column:
-    """P(requirement <= intake) for a normal requirement with the given CV."""
-    return normal_cdf((intake - F.lit(float(requirement))) / F.lit(float(requirement) * variation))
-
-
 def with_adequacy_probabilities(df: DataFrame, bioavailability: int = 10,
                                 requirement: Mapping[str, float] = params.REQUIREMENT,
                                 variation: Mapping[str, float] = params.VARIATION,
                                 iron: str = "fe_mg") -> DataFrame:
-    """Add ``pa_<nutrient>`` for every nutrient with a CV, and ``pa_<iron>`` from the bands."""
-    columns = {f"pa_{n}": adequacy_probability(F.col(n), requirement[n], cv)
-               for n, cv in variation.items()}
+    """Add ``pa_<nutrient>`` for every nutrient with a CV, and ``pa_<iron>`` from the bands.
+
+    A requirement is normal with mean ``requirement`` and the given CV, so the probability
+    that intake meets it is the normal distribution at the standardised intake.
+    """
+    standardised = {f"_z_{n}": (F.col(n) - F.lit(float(requirement[n]))) / F.lit(float(requirement[n]) * cv)
+                    for n, cv in variation.items()}
+    scored = {f"pa_{n}": normal_cdf(f"_z_{n}") for n in variation}
     # Adequacy of iron is defined for 10 % bioavailability only.
     inadequate = iron_inadequacy(F.col(iron), bioavailability if bioavailability == 10 else -1)
-    columns[f"pa_{iron}"] = F.lit(1.0) - inadequate
-    return df.withColumns(columns)
+    scored[f"pa_{iron}"] = F.lit(1.0) - inadequate
+    return (df.withColumns(standardised) if standardised else df).withColumns(scored).drop(*standardised)
 
 
 def scorable(df: DataFrame, nutrients: Sequence[str]) -> DataFrame:

@@ -27,29 +27,31 @@ ROOT_TWO_PI = 2.506628274631
 Z_975 = 1.959963984540054
 
 
-def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
-    value = F.lit(coefficients[0])
+def _horner(coefficients: tuple[float, ...], x: str) -> str:
+    text = f"{coefficients[0]!r}D"
     for c in coefficients[1:]:
-        value = value * x + F.lit(c)
-    return value
+        text = f"({text} * {x} + {c!r}D)"
+    return text
 
 
-def normal_cdf(x: Column) -> Column:
-    """P(Z <= x); absolute error about 2e-16. NULL in, NULL out."""
-    z = F.abs(x)
-    bell = F.exp(-(z * z) / 2)
-    centre = bell * _horner(PHI_NUMERATOR, z) / _horner(PHI_DENOMINATOR, z)
+def normal_cdf(column: str) -> Column:
+    """P(Z <= x) for a column of the frame; absolute error about 2e-16. NULL in, NULL out.
+
+    Takes a name, not an expression: x occurs some twenty times, and a named column
+    keeps a long expression from being spelled out at each of them.
+    """
+    x = f"`{column}`"
+    z = f"abs({x})"
+    bell = f"exp(-({z} * {z}) / 2D)"
+    centre = f"{bell} * {_horner(PHI_NUMERATOR, z)} / {_horner(PHI_DENOMINATOR, z)}"
     # Continued fraction for the far tail, innermost term first.
-    fraction = z + F.lit(0.65)
-    for k in (4.0, 3.0, 2.0, 1.0):
-        fraction = z + F.lit(k) / fraction
-    far = bell / fraction / F.lit(ROOT_TWO_PI)
-    tail = (
-        F.when(z > PHI_LIMIT, F.lit(0.0))
-        .when(z < PHI_SPLIT, centre)
-        .otherwise(far)
-    )
-    return F.when(x.isNull(), F.lit(None).cast("double")).when(x > 0, 1 - tail).otherwise(tail)
+    fraction = f"({z} + 0.65D)"
+    for k in (4, 3, 2, 1):
+        fraction = f"({z} + {k}D / {fraction})"
+    tail = (f"CASE WHEN {z} > {PHI_LIMIT}D THEN 0D WHEN {z} < {PHI_SPLIT}D THEN {centre} "
+            f"ELSE {bell} / {fraction} / {ROOT_TWO_PI}D END")
+    lower = F.expr(tail)
+    return F.when(F.col(column).isNotNull(), F.when(F.col(column) > 0, 1 - lower).otherwise(lower))
 
 
 def t_975(degrees: Column) -> Column:
