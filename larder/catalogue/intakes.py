@@ -20,7 +20,7 @@ from larder.operators import checks, indicators, regions
 from larder.operators.intake import apparent_intake, base_model
 from larder.operators.ordering import ntile_exact
 from larder.operators.survey import SurveyDesign, gap, interaction, long, quintile_label
-from larder.plans.reports import region_report
+from larder.plans.reports import national_report, region_report
 from larder.sources.adapters import DROP_REGIONS, ISO3, RESPELL, SURVEY
 from larder.sources.tables import Survey
 
@@ -268,6 +268,14 @@ def q_region_report(t):
     return region_report(_intake(t, CORE, W, "adm1"), W)
 
 
+@query("national_report", "described", "SELECT "
+       + ", ".join(f"round_even({s_wmean(s_flag(n))} * 100, 1) AS {indicators.short_name(n)}" for n in CUT)
+       + f", round_even({s_wmean(s_iron('fe_mg'))} * 100, 1) AS fe_inadequacy, "
+       + f"round_even({s_wmean(f'CAST({s_mar(CORE)} < 0.75 AS INTEGER)')} * 100, 1) AS mar FROM described")
+def q_national_report(t):
+    return national_report(_intake(t, CORE, W), W)
+
+
 # --- regions ----------------------------------------------------------------------
 
 @query("conform_regions", "hh", """

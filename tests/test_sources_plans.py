@@ -3,14 +3,17 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from larder import params
+from larder import catalogue, params
 from larder.operators import checks, food_groups
 from larder.operators.intake import apparent_intake
 from larder.operators.joins import na_join
+from larder.operators.ordering import ntile_exact
+from larder.plans import reports
 from larder.plans.base_model import RawSurvey, build
 from larder.sources import schemas, tables
 from larder.sources.adapters import ISO3, SURVEY, Tables
 from larder.sources.staging import stage, staging_root
+from larder.sources.tables import Survey
 
 
 def got(df):
@@ -106,6 +109,43 @@ class TestPlans:
         assert got(apparent_intake(model.survey(spark, t.fct()), ["zn_mg"]).agg(F.round(F.sum("zn_mg"), 6))) == got(
             intake.agg(F.round(F.sum("zn_mg"), 6)))
 
+    def test_reports(self, spark, sf_dir, tmp_path):
+        """Every report gives what the single queries give."""
+        t = Tables(spark, sf_dir)
+        hh = ntile_exact(ntile_exact(t.hh(), "pc_expenditure", 5, ["hhid"], "sep_quintile"),
+                         "pc_expenditure", 5, ["hhid"], "res_quintile", by=["res"])
+        keep = ["survey_wgt", "adm1", "res", "sep_quintile", "res_quintile"]
+        households = stage(apparent_intake(Survey(hh, t.cons(), t.fct()), params.NUTRIENTS, keep))
+        single = {name: q.run(t) for name, q in catalogue.load().items()
+                  if name in ("mpi_gradient", "mpi_region_ci", "mpi_national_se", "long_region", "long_national", "long_residence",
+                              "long_res_quintile", "urban_rural_gap", "vas_target", "vas_national", "contrib_top5", "top20_report",
+                              "energy_share_main", "energy_share_nutritious")}
+
+        def same(df, name, *names):
+            other = single[name].toDF(*names) if names else single[name]
+            assert got(catalogue.rounded(df.select(*other.columns))) == got(catalogue.rounded(other)), name
+
+        mpi = reports.mpi_report(households, "survey_wgt")
+        same(mpi["gradient"], "mpi_gradient")
+        same(mpi["national"], "mpi_national_se", "mean_mpi", "mean_mpi_se", "mean_mpi_low", "mean_mpi_upp")
+        same(mpi["region"], "mpi_region_ci", "adm1", "mean_mpi", "mean_mpi_se", "mean_mpi_low", "mean_mpi_upp")
+        long = reports.stratified_report(households, "survey_wgt")
+        same(long["region"], "long_region")
+        same(long["national"], "long_national")
+        same(long["residence"], "long_residence")
+        same(long["residence_quintile"], "long_res_quintile")
+        same(long["gap"], "urban_rural_gap")
+        energy = reports.energy_report(t.cons(), t.hh(), t.fct(), t.food_group_map())
+        same(catalogue.rounded(energy.filter("part = 'main'"), 2, "totalenergy_kcal"), "energy_share_main")
+        same(catalogue.rounded(energy.filter("part = 'nutritious'"), 2, "totalenergy_kcal"), "energy_share_nutritious")
+        regions = t.region_dim().select(F.initcap("adm1").alias("adm1"))
+        vas = reports.coverage_report(t.children(), t.region_codes(), regions, "Nation_2[34]")
+        same(vas["region"], "vas_target")
+        same(vas["national"], "vas_national")
+        paths = reports.contribution_report(t.survey(), households, str(tmp_path))
+        same(spark.read.parquet(paths["delta"]), "contrib_top5")
+        same(spark.read.parquet(paths["top20"]), "top20_report")
+
     def test_scan_reads_only_what_it_needs(self, spark, sf_dir):
         t = Tables(spark, sf_dir)
         plan = apparent_intake(t.survey(), ["zn_mg"])._jdf.queryExecution().executedPlan().toString()
