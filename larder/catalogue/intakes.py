@@ -9,7 +9,6 @@ from larder.catalogue import query, r, rounded
 from larder.functions.nutrition import (
     below_requirement,
     iron_inadequacy,
-    scorable,
     with_adequacy_probabilities,
     with_adequacy_ratios,
     with_mar,
@@ -22,6 +21,7 @@ from larder.operators.ordering import ntile_exact
 from larder.operators.survey import SurveyDesign, gap, interaction, long, quintile_label
 from larder.plans.reports import national_report, region_report
 from larder.sources.adapters import DROP_REGIONS, ISO3, RESPELL, SURVEY
+from larder.sources.staging import stage
 from larder.sources.tables import Survey
 
 ALL, CORE, CUT = params.NUTRIENTS, params.CORE_NUTRIENTS, params.CUT_POINT_NUTRIENTS
@@ -40,7 +40,8 @@ def _with_quintiles(t, *columns):
         hh = ntile_exact(hh, "pc_expenditure", 5, ["hhid"], "sep_quintile")
     if "res_quintile" in columns:
         hh = ntile_exact(hh, "pc_expenditure", 5, ["hhid"], "res_quintile", by=["res"])
-    return Survey(hh, t.cons(), t.fct())
+    # Written, as the household table is once it has its quintiles: its size is then known.
+    return Survey(stage(hh), t.cons(), t.fct())
 
 
 # --- SQL pieces -------------------------------------------------------------------
@@ -334,20 +335,20 @@ MPI_SOURCE = (f"SELECT s.*, q.sep_quintile FROM ({SCORES_SQL}) s LEFT JOIN quint
 
 
 def _mpi_design(t):
-    """Complete households only."""
+    """Complete households; those without a score are left out by each estimate."""
     survey = _with_quintiles(t, "sep_quintile")
-    rows = scorable(apparent_intake(survey, CORE, [W, "adm1", "res", "sep_quintile"]), CORE)
+    rows = apparent_intake(survey, CORE, [W, "adm1", "res", "sep_quintile"])
     return SurveyDesign(with_mpa(rows), W).complete([W, "adm1", "sep_quintile"])
 
 
 @query("mpi_national_se", "described quintiles", s_mean_ci(MPI_SOURCE, "mpi", "", 3))
 def mpi_national_se(t):
-    return rounded(_mpi_design(t).mean_ci("mpi", digits=3), 8, "mpi_se", "mpi_low", "mpi_upp")
+    return rounded(_mpi_design(t).mean_ci("mpi", digits=3, missing_counts=False), 8, "mpi_se", "mpi_low", "mpi_upp")
 
 
 @query("mpi_region_ci", "described quintiles", s_mean_ci(MPI_SOURCE, "mpi", "adm1", 3))
 def mpi_region_ci(t):
-    estimates = _mpi_design(t).mean_ci("mpi", ["adm1"], digits=3)
+    estimates = _mpi_design(t).mean_ci("mpi", ["adm1"], digits=3, missing_counts=False)
     return rounded(estimates, 8, "mpi_se", "mpi_low", "mpi_upp").orderBy(F.col("mpi").desc(), "adm1")
 
 

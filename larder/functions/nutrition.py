@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larder import params
 from larder.functions.missing import indicator, row_mean
-from larder.functions.stats import normal_cdf
+from larder.functions.stats import with_normal_cdf
 
 
 def below_requirement(df: DataFrame, nutrients: Sequence[str],
@@ -67,22 +67,14 @@ def with_adequacy_probabilities(df: DataFrame, bioavailability: int = 10,
     A requirement is normal with mean ``requirement`` and the given CV, so the probability
     that intake meets it is the normal distribution at the standardised intake.
     """
-    standardised = {f"_z_{n}": (F.col(n) - F.lit(float(requirement[n]))) / F.lit(float(requirement[n]) * cv)
-                    for n, cv in variation.items()}
-    scored = {f"pa_{n}": normal_cdf(f"_z_{n}") for n in variation}
-    # Adequacy of iron is defined for 10 % bioavailability only.
-    inadequate = iron_inadequacy(F.col(iron), bioavailability if bioavailability == 10 else -1)
-    scored[f"pa_{iron}"] = F.lit(1.0) - inadequate
-    return (df.withColumns(standardised) if standardised else df).withColumns(scored).drop(*standardised)
-
-
-def scorable(df: DataFrame, nutrients: Sequence[str]) -> DataFrame:
-    """Rows with at least one intake: exactly those whose mean probability is known.
-
-    Filtering on the intakes before scoring keeps the test small; a filter on the score
-    itself would be pushed below the scoring and evaluate all of it twice.
-    """
-    return df.filter(F.coalesce(*[F.col(n) for n in nutrients]).isNotNull())
+    scored = with_normal_cdf(df, {
+        f"pa_{n}": (F.col(n) - F.lit(float(requirement[n]))) * F.lit(1 / (float(requirement[n]) * cv))
+        for n, cv in variation.items()})
+    # Adequacy of iron is defined for 10 % bioavailability only. The bands are tested on a
+    # column that is never NULL, for the same reason as the distances in with_normal_cdf.
+    inadequate = iron_inadequacy(F.col("_iron"), bioavailability if bioavailability == 10 else -1)
+    return (scored.withColumn("_iron", F.coalesce(F.col(iron), F.lit(0.0)))
+            .withColumn(f"pa_{iron}", F.when(F.col(iron).isNotNull(), F.lit(1.0) - inadequate)).drop("_iron"))
 
 
 def with_mpa(df: DataFrame, cut: float = 0.5, bioavailability: int = 10,

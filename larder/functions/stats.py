@@ -6,7 +6,9 @@ they stay inside whole-stage code generation and need no UDF.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rational approximation of the normal tail (Hart 1968, as given by
@@ -27,6 +29,22 @@ ROOT_TWO_PI = 2.506628274631
 Z_975 = 1.959963984540054
 
 
+# The far tail is the continued fraction z + 1/(z + 2/(z + 3/(z + 4/(z + 0.65)))).
+FAR_TERMS = (4.0, 3.0, 2.0, 1.0)
+FAR_LAST = 0.65
+
+
+def _far_fraction() -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The continued fraction as one quotient of polynomials, highest power first."""
+    top, bottom = [1.0, FAR_LAST], [1.0]
+    for k in FAR_TERMS:
+        # z + k / (top / bottom) = (z * top + k * bottom) / top
+        shifted, scaled = [*top, 0.0], [k * c for c in bottom]
+        padded = [0.0] * (len(shifted) - len(scaled)) + scaled
+        top, bottom = [s + t for s, t in zip(shifted, padded, strict=True)], top
+    return tuple(top), tuple(bottom)
+
+
 def _horner(coefficients: tuple[float, ...], x: str) -> str:
     text = f"{coefficients[0]!r}D"
     for c in coefficients[1:]:
@@ -34,24 +52,31 @@ def _horner(coefficients: tuple[float, ...], x: str) -> str:
     return text
 
 
-def normal_cdf(column: str) -> Column:
-    """P(Z <= x) for a column of the frame; absolute error about 2e-16. NULL in, NULL out.
+def with_normal_cdf(df: DataFrame, scores: Mapping[str, Column]) -> DataFrame:
+    """Add P(Z <= score) under each name; absolute error about 2e-16. NULL in, NULL out.
 
-    Takes a name, not an expression: x occurs some twenty times, and a named column
-    keeps a long expression from being spelled out at each of them.
+    The steps are columns of their own because each is used many times: written as one
+    expression they would be copied into every use. The distance from zero is never NULL,
+    so the polynomials compile without null checks. Both keep the generated method within
+    the size that the JVM still compiles (8000 bytes).
     """
-    x = f"`{column}`"
-    z = f"abs({x})"
-    bell = f"exp(-({z} * {z}) / 2D)"
-    centre = f"{bell} * {_horner(PHI_NUMERATOR, z)} / {_horner(PHI_DENOMINATOR, z)}"
-    # Continued fraction for the far tail, innermost term first.
-    fraction = f"({z} + 0.65D)"
-    for k in (4, 3, 2, 1):
-        fraction = f"({z} + {k}D / {fraction})"
-    tail = (f"CASE WHEN {z} > {PHI_LIMIT}D THEN 0D WHEN {z} < {PHI_SPLIT}D THEN {centre} "
-            f"ELSE {bell} / {fraction} / {ROOT_TWO_PI}D END")
-    lower = F.expr(tail)
-    return F.when(F.col(column).isNotNull(), F.when(F.col(column) > 0, 1 - lower).otherwise(lower))
+    z, d, t = ({name: f"_{k}_{name}" for name in scores} for k in "zdt")
+    if not scores:
+        return df
+    df = df.withColumns({z[n]: score for n, score in scores.items()})
+    df = df.withColumns({d[n]: F.coalesce(F.abs(z[n]), F.lit(0.0)) for n in scores})
+    df = df.withColumns({t[n]: F.expr(_tail(f"`{d[n]}`")) for n in scores})
+    df = df.withColumns({n: F.when(F.col(z[n]) > 0, 1 - F.col(t[n])).when(F.col(z[n]) <= 0, F.col(t[n])) for n in scores})
+    return df.drop(*z.values(), *d.values(), *t.values())
+
+
+def _tail(d: str) -> str:
+    """P(Z > d) for a distance d >= 0; 0 from the limit on."""
+    top, bottom = _far_fraction()
+    near = f"{_horner(PHI_NUMERATOR, d)} / {_horner(PHI_DENOMINATOR, d)}"
+    far = f"{_horner(bottom, d)} / ({_horner(top, d)} * {ROOT_TWO_PI}D)"
+    return (f"CASE WHEN {d} >= {PHI_LIMIT}D THEN 0D "
+            f"ELSE exp({d} * {d} * -0.5D) * CASE WHEN {d} < {PHI_SPLIT}D THEN {near} ELSE {far} END END")
 
 
 def t_975(degrees: Column) -> Column:

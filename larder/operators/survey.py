@@ -102,7 +102,7 @@ class SurveyDesign:
             *names.values())
 
     def mean_ci(self, variable: str, by: Sequence[str] = (), out: str | None = None,
-                degrees: float | None = None, digits: int | None = None) -> DataFrame:
+                degrees: float | None = None, digits: int | None = None, missing_counts: bool = True) -> DataFrame:
         """Weighted mean with its linearised standard error and 95 % interval.
 
         The error of m = sum(wx)/sum(w) is that of the total of z = (wx - m w)/sum(w).
@@ -111,21 +111,23 @@ class SurveyDesign:
         cancels as it would with raw power sums). Only a table with a row per group and
         stratum is left for the rest: no second scan, no join back to the rows.
 
-        A domain keeps the whole design's sample size; rows outside it count as zeros.
+        A domain keeps the whole design's sample size; rows outside it count as zeros. So
+        do rows without a value, unless ``missing_counts`` is false: then they are no part of
+        the design, as after ``complete([variable])`` but without computing it twice.
         ``degrees`` defaults to rows minus strata. A stratum of one row that takes part
         leaves the error NULL. Rows without a weight are not part of the design.
         """
         out = out or variable
         by = list(by)
         x, w = F.col(variable), self.weights()
-        used = x.isNotNull()
-        wx, wu = F.when(used, w * x), F.when(used, w)
         strata = [self.strata] if self.strata else []
-        cells = self.df.filter(w.isNotNull()).groupBy(*by, *strata).agg(
-            F.count("*").alias("_rows"), F.count(wx).alias("_n"),
-            F.avg(wx).alias("_mx"), F.avg(wu).alias("_mw"),
-            F.var_pop(wx).alias("_vx"), F.var_pop(wu).alias("_vw"), F.covar_pop(wx, wu).alias("_c"),
-            F.min(F.when(w.isNotNull(), x)).alias("_low"), F.max(F.when(w.isNotNull(), x)).alias("_high"))
+        rows = self.df.filter(w.isNotNull()).select(
+            *by, *strata, x.alias("_x"), (w * x).alias("_wx"), F.when(x.isNotNull(), w).alias("_w"))
+        cells = rows.groupBy(*by, *strata).agg(
+            F.count(F.lit(1) if missing_counts else "_x").alias("_rows"), F.count("_wx").alias("_n"),
+            F.avg("_wx").alias("_mx"), F.avg("_w").alias("_mw"),
+            F.var_pop("_wx").alias("_vx"), F.var_pop("_w").alias("_vw"), F.covar_pop("_wx", "_w").alias("_c"),
+            F.min("_x").alias("_low"), F.max("_x").alias("_high"))
         # From here on: one row per group and stratum.
         one = [F.lit(0)]
         domain = Window.partitionBy(*(by or one))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larder import params
 from larder.functions.missing import percent
-from larder.functions.nutrition import below_requirement, iron_inadequacy, scorable, with_mar, with_mpa
+from larder.functions.nutrition import below_requirement, iron_inadequacy, with_mar, with_mpa
 from larder.operators import contribution, coverage, food_groups
 from larder.operators.indicators import prevalence, short_name
 from larder.operators.survey import SurveyDesign, gap, long, quintile_label, weighted_mean
@@ -62,9 +62,8 @@ def mpi_report(households: DataFrame, weight: str) -> dict[str, DataFrame]:
     ``households`` needs ``adm1``, ``res`` and ``sep_quintile``; incomplete ones drop. The
     scored rows are staged, as three estimates read them.
     """
-    rows = with_mpa(scorable(households, params.CORE_NUTRIENTS)).select("mpi", weight, "adm1", "res", "sep_quintile")
-    complete = SurveyDesign(rows, weight).complete([weight, "adm1", "sep_quintile"])
-    design = SurveyDesign(stage(complete.df), weight)
+    rows = with_mpa(households).select("mpi", weight, "adm1", "res", "sep_quintile")
+    design = SurveyDesign(stage(rows), weight).complete([weight, "mpi", "adm1", "sep_quintile"])
     return {
         "national": design.mean_ci("mpi", out="mean_mpi", digits=3),
         "region": design.mean_ci("mpi", ["adm1"], out="mean_mpi", digits=3).orderBy(F.col("mean_mpi").desc(), "adm1"),

@@ -54,14 +54,18 @@ class TestMissing:
 class TestStats:
     def test_normal_cdf(self, spark):
         df = spark.range(-2400, 2401).select((F.col("id") / 200).alias("x"))
-        for x, p in df.select("x", stats.normal_cdf("x")).collect():
+        for x, p in stats.with_normal_cdf(df, {"p": F.col("x")}).collect():
             assert abs(p - 0.5 * math.erfc(-x / math.sqrt(2))) < 1e-15
 
     def test_normal_cdf_ends(self, rows):
-        df = rows("x double", (40.0,), (-40.0,), (None,), (0.0,))
-        values = column(df, stats.normal_cdf("x"))
+        df = rows("x double", (40.0,), (-40.0,), (None,), (0.0,), (1e200,), (-1e200,))
+        values = column(stats.with_normal_cdf(df, {"p": F.col("x")}), "p")
         assert values[:3] == [1.0, 0.0, None]
         assert values[3] == pytest.approx(0.5, abs=1e-15)
+        assert values[4:] == [1.0, 0.0]
+
+    def test_no_scores(self, rows):
+        assert stats.with_normal_cdf(rows("x double", (1.0,)), {}).columns == ["x"]
 
     @pytest.mark.parametrize(("df_", "t"), [(10, 2.22813), (30, 2.04227), (100, 1.98397)])
     def test_t(self, spark, df_, t):
@@ -107,7 +111,6 @@ class TestNutrition:
         assert (got[0].flag, got[0].mpi) == (0, pytest.approx(0.4))
         assert tuple(got[1]) == (0.0, 1, 1.0)
         assert tuple(got[2]) == (None, None, None)
-        assert nutrition.scorable(df, n).count() == 2
 
     def test_iron_adequacy_only_at_ten_percent(self, rows):
         df = rows("fe_mg double", (8.0,))

@@ -152,6 +152,21 @@ class TestPlans:
         assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in plan
         assert "ReadSchema: struct<p_partkey:bigint,p_retailprice:double>" in plan
 
+    @pytest.mark.parametrize("name", ["apparent_intake", "mpa_rows", "mpi_region_ci", "mpi_gradient", "region_report",
+                                      "household_afe", "kcal_under2", "contrib_all", "vas_child"])
+    def test_generated_methods_are_compilable(self, spark, sf_dir, name):
+        """No generated method exceeds the 8000 bytes beyond which the JVM only interprets it."""
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        try:
+            df = catalogue.load()[name].run(Tables(spark, sf_dir))
+            df.collect()
+            debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+            stages = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+            sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+        finally:
+            spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+        assert sizes and max(sizes) < 8000
+
     def test_hot_household_is_split(self, spark):
         """Adaptive execution splits a household that holds most rows, when nothing is broadcast."""
         settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",

@@ -78,6 +78,11 @@ class TestErrors:
             m, se = direct([r for r in DATA if r[1] == d], len(DATA))
             assert (rows_[d].x, rows_[d].x_se) == pytest.approx((m, se))
 
+    def test_missing_rows_out_of_the_design(self, table):
+        out = SurveyDesign(table, "w").mean_ci("x", ["d"], missing_counts=False).collect()
+        complete = SurveyDesign(table, "w").complete(["x"]).mean_ci("x", ["d"]).collect()
+        assert sorted(map(tuple, out)) == sorted(map(tuple, complete))
+
     def test_strata(self, table):
         for by in ([], ["d"]):
             result = SurveyDesign(table, "w", "h").mean_ci("x", by).collect()
