@@ -4,6 +4,7 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as contract
+from larder import catalogue
 
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 
@@ -14,10 +15,10 @@ def duck(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(catalogue.load()) <= set(QUERIES) & set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(name, spark, duck, sf_dir):
     assert difference(QUERIES[name](spark, sf_dir), duck, ORACLES[name]) is None
 
