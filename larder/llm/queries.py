@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, packing, token_counts
+from larder.llm import decontaminate, line_frequency, packing, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,59 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def _spans_sql(kind: str, number: int, pattern: str, keep: str = "true") -> str:
+    """Matches of one kind: the stretches between them give their places."""
+    return f"""SELECT doc_id, '{kind}' AS kind, {number} AS rule, start, start + len(m) AS stop FROM (
+  SELECT doc_id, ms[k] AS m, len(array_to_string(gs[1:k], '') || array_to_string(ms[1:k-1], '')) AS start
+  FROM (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS k FROM (
+    SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS gs FROM texts))) WHERE {keep}"""
+
+
+_Q = "[\"'']?"
+_HEAD = rf"(?i:password|passwd|secret|token|api_?key){_Q}\x20*[:=]\x20*{_Q}"
+
+
+@_query("op5_secret_scan", f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({_spans_sql("assign", 0, _HEAD + "[A-Za-z0-9+/_.=-]+", f"len(regexp_replace(m, '^{_HEAD}', '')) >= 6")}
+UNION ALL {_spans_sql("access", 1, "AKIA[A-Z0-9]+", "len(m) >= 20")}
+UNION ALL {_spans_sql("hex", 2, "[0-9a-f]+", "len(m) >= 24")}
+UNION ALL {_spans_sql("pem", 3, "-----BEGIN [A-Z ]*PRIVATE KEY-----")}
+UNION ALL {_spans_sql("jwt", 4, "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+")}),
+listed AS (SELECT doc_id, count(*) FILTER (rule = 0) AS a, count(*) FILTER (rule = 1) AS b, count(*) FILTER (rule = 2) AS c,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rule) FILTER (rule < 3) AS base,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rule) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN listed USING (doc_id)""")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.found(table(spark, sf_dir, "documents")))
+
+
+@_query("op6_line_frequency", r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+wins AS (SELECT doc_id, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] AS win
+         FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM w WHERE len(ws) > 2)),
+twice AS (SELECT doc_id, win FROM wins GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM wins JOIN twice USING (doc_id, win)) GROUP BY doc_id),
+lines AS (SELECT doc_id, source, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw,
+  array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+'), ' ') AS norm
+  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM t)),
+full_lines AS (SELECT * FROM lines WHERE nw > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
+held AS (SELECT source, norm, count(DISTINCT text) AS n FROM full_lines GROUP BY ALL),
+hosts AS (SELECT source, count(DISTINCT text) AS n FROM t GROUP BY source),
+often AS (SELECT held.source, norm FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source
+          WHERE held.n > 5 AND held.n > 0.2 * hosts.n),
+gone AS (SELECT doc_id, CAST(sum(nw) AS BIGINT) AS n FROM full_lines JOIN often
+         ON full_lines.source IS NOT DISTINCT FROM often.source AND full_lines.norm = often.norm GROUP BY doc_id),
+counted AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(len(text) - len(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND n_words - removed_words >= 0.3 * n_words AS kept FROM base""")
+def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.judged(table(spark, sf_dir, "documents"))
