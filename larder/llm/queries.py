@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, line_frequency, packing, secret_scan, token_counts
+from larder.llm import decontaminate, line_frequency, main_text, packing, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,8 @@ base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_f
 SELECT *, NOT base_failed AND n_words - removed_words >= 0.3 * n_words AS kept FROM base""")
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judged(table(spark, sf_dir, "documents"))
+
+
+@_query("op9_main_text")
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(table(spark, sf_dir, "pages"))
