@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, line_frequency, main_text, packing, secret_scan, sharding, token_counts, toxicity
+from larder.llm import decontaminate, line_frequency, main_text, near_duplicates, packing, secret_scan, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_sharding")
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+@_query("op2_near_duplicates")
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classed(table(spark, sf_dir, "documents")).drop("link")
