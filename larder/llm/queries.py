@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, line_frequency, main_text, near_duplicates, packing, secret_scan, sharding, token_counts, toxicity
+from larder.llm import decontaminate, line_frequency, line_join, main_text, near_duplicates, packing, secret_scan, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_near_duplicates")
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classed(table(spark, sf_dir, "documents")).drop("link")
+
+
+@_query("op7_line_join")
+def op7_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_join.classed(table(spark, sf_dir, "documents")).drop("root")
