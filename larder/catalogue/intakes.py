@@ -148,10 +148,11 @@ def summary_energy(t):
 
 @query("histogram_energy", "intake", """
     SELECT CAST(floor(energy_kcal / (10000e0 / 30)) + 1 AS BIGINT) AS bin, count(*) AS n,
-           round(floor(energy_kcal / (10000e0 / 30)) * (10000e0 / 30), 4) AS bin_start
+           round(floor(energy_kcal / (10000e0 / 30)) * (10000e0 / 30), 4) AS bin_start,
+           (SELECT round(median(energy_kcal), 4) FROM intake) AS median
     FROM intake WHERE energy_kcal >= 0 AND energy_kcal < 10000 GROUP BY 1, 3""")
 def histogram_energy(t):
-    return rounded(checks.histogram(_intake(t, ["energy_kcal"]), "energy_kcal"), 4, "bin_start")
+    return rounded(checks.histogram(_intake(t, ["energy_kcal"]), "energy_kcal", tie=["hhid"]), 4, "bin_start", "median")
 
 
 # --- inadequacy -------------------------------------------------------------------
@@ -352,6 +353,23 @@ def mpi_region_ci(t):
     return rounded(estimates, 8, "mpi_se", "mpi_low", "mpi_upp").orderBy(F.col("mpi").desc(), "adm1")
 
 
+@query("mpi_strata_ci", "described quintiles", f"""
+    WITH d AS (SELECT *, adm1 || '.' || res AS stratum FROM ({MPI_SOURCE})),
+    m AS (SELECT res, {s_wmean("mpi")} AS m, sum(CASE WHEN mpi IS NOT NULL THEN {W} END) AS sw FROM d GROUP BY res),
+    z AS (SELECT m.res, d.stratum, CASE WHEN d.res = m.res THEN {W} * (d.mpi - m.m) / m.sw ELSE 0e0 END AS z, m.m FROM d CROSS JOIN m),
+    h AS (SELECT res, stratum, any_value(m) AS m, count(*) AS n, count(*) / (count(*) - 1e0) * (sum(z * z) - sum(z) * sum(z) / count(*)) AS part
+          FROM z GROUP BY res, stratum)
+    SELECT res, round_even(any_value(m), 3) AS mpi, round(sqrt(sum(part)), 8) AS mpi_se, CAST(sum(n) - count(*) AS BIGINT) AS df FROM h GROUP BY res""")
+def mpi_strata_ci(t):
+    """Region by residence as strata, residence as domain."""
+    design = _mpi_design(t).complete(["mpi"])
+    rows = stage(design.df.select(W, "mpi", "adm1", "res")).withColumn("stratum", interaction("adm1", "res"))
+    strata = rows.select("stratum").distinct().agg(F.count("*").alias("strata"))
+    size = rows.agg(F.count("*").alias("n")).crossJoin(strata)  # one row each
+    estimates = SurveyDesign(rows, design.weight, "stratum").mean_ci("mpi", ["res"], digits=3)
+    return rounded(estimates.crossJoin(F.broadcast(size)).select("res", "mpi", "mpi_se", (F.col("n") - F.col("strata")).alias("df")), 8, "mpi_se")
+
+
 @query("mpi_gradient", "described quintiles", f"""
     WITH d AS ({MPI_SOURCE})
     SELECT CAST(sep_quintile AS INTEGER) AS sep_quintile, res, round({s_wmean("mpi")}, 6) AS mean_mpi FROM d GROUP BY sep_quintile, res

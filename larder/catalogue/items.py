@@ -96,8 +96,7 @@ def s_contributions(nutrients, groups=contribution.GROUPS):
                   FROM cons c LEFT JOIN hh h ON c.hhid IS NOT DISTINCT FROM h.hhid
                   LEFT JOIN fct f ON c.item_code IS NOT DISTINCT FROM f.item_code
                   LEFT JOIN intake i ON c.hhid IS NOT DISTINCT FROM i.hhid WHERE {keep} GROUP BY 1, 2) WHERE intake > 0""")
-    return (f"""(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY nutrient, grp ORDER BY contribution_pct DESC,
-            item_code, item_name) AS INTEGER) AS rank FROM ({" UNION ALL ".join(blocks)})) WHERE rank <= 200)""")
+    return f"({' UNION ALL '.join(blocks)})"
 
 
 def _contribution(group):
@@ -113,7 +112,7 @@ contrib_total, contrib_risk, contrib_not_risk = (_contribution(g) for g in contr
 
 
 @query("contrib_all", "hh cons fct intake", f"""
-    SELECT nutrient, grp, item_code, item_name, round(contribution_pct, 6) AS contribution_pct, rank
+    SELECT nutrient, grp, item_code, item_name, round(contribution_pct, 6) AS contribution_pct
     FROM {s_contributions(CORE)}""")
 def contrib_all(t):
     return rounded(contribution.food_contributions_all(t.survey(), _flags(t, CORE), CORE))
@@ -158,7 +157,8 @@ def contrib_top5(t):
 
 def s_top20(nutrients, columns):
     return f"""
-    WITH shares AS (SELECT * FROM {s_contributions(nutrients, ["total"])})
+    WITH shares AS (SELECT *, CAST(row_number() OVER (PARTITION BY nutrient ORDER BY contribution_pct DESC, item_code, item_name)
+                         AS INTEGER) AS rank FROM {s_contributions(nutrients, ["total"])})
     SELECT {columns}, round_even(contribution_pct, 0) AS contribution_pct,
            item_name || chr(10) || CAST(CAST(round_even(contribution_pct, 0) AS BIGINT) AS VARCHAR) || '%' AS label
     FROM (SELECT nutrient, rank, item_name, contribution_pct FROM shares WHERE rank <= 20 UNION ALL
@@ -174,7 +174,7 @@ def top20_others(t):
 @query("top20_report", "hh cons fct intake", s_top20(CORE, "nutrient, rank, item_name"))
 def top20_report(t):
     """Written with one folder per nutrient, then read back."""
-    ranked = contribution.food_contributions_all(t.survey(), None, CORE, ["total"])
-    target = write_report(contribution.top_n_others(ranked), stage_path(t.spark, "top20"))
+    shares = contribution.food_contributions_all(t.survey(), None, CORE, ["total"])
+    target = write_report(contribution.top_n_others(shares), stage_path(t.spark, "top20"))
     return t.spark.read.parquet(target).select(
         "nutrient", F.col("rank"), "item_name", "contribution_pct", "label")

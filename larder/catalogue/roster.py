@@ -28,6 +28,14 @@ def split_survey_date(t):
     return na_join(t.persons().select("hhid", "roster_id", "interview_id"), dates, "interview_id").drop("interview_id")
 
 
+@query("attach_date", "hh_date persons", """
+    SELECT p.hhid, p.roster_id, TRY_CAST(substring(d.date, 1, 4) AS INTEGER) AS year,
+           TRY_CAST(substring(d.date, 5, 2) AS INTEGER) AS month
+    FROM persons p LEFT JOIN hh_date d ON p.interview_id IS NOT DISTINCT FROM d.interview_id""")
+def attach_date(t):
+    return afe.attach_date(t.persons().drop("year", "month"), t.hh_date()).select("hhid", "roster_id", "year", "month")
+
+
 @query("clean_birth", "born", "SELECT hhid, roster_id, year_birth, month_birth FROM born")
 def clean_birth(t):
     return afe.clean_birth(t.persons()).select("hhid", "roster_id", "year_birth", "month_birth")
@@ -136,6 +144,23 @@ def afe_vs_size(t):
     return rounded(checks.mean_by(sized.filter(F.col("afe").isNotNull()), "afe", "hh_size"))
 
 
+# Adult equivalents are not in the test tables: 1 from 15 years on, 0.3 and 0.03 a year below.
+@query("afe_vs_adult_equiv", "kcal people", """
+    WITH sized AS (
+        SELECT p.hhid, p.adult_equiv, a.afe
+        FROM (SELECT hhid, sum(CASE WHEN age < 15 THEN 30 + 3 * age ELSE 100 END) / 100e0 AS adult_equiv FROM people GROUP BY hhid) p
+        JOIN (SELECT hhid, sum(coalesce(kcal, 0) / 2291e0) AS afe FROM kcal GROUP BY hhid) a ON p.hhid = a.hhid)
+    SELECT s.adult_equiv, count(*) AS n, round(avg(s.afe), 6) AS mean_afe, round(any_value(f.slope), 6) AS slope,
+           round(any_value(f.corr), 6) AS corr
+    FROM sized s, (SELECT regr_slope(afe, adult_equiv) AS slope, corr(afe, adult_equiv) AS corr FROM sized) f
+    GROUP BY s.adult_equiv""")
+def afe_vs_adult_equiv(t):
+    weight = F.when(F.col("age") < 15, 30 + 3 * F.col("age")).otherwise(100)
+    sized = afe.with_person_afe(_people(t)).groupBy("hhid").agg(
+        (F.sum(weight) / 100).alias("adult_equiv"), F.when(F.count("grp") > 0, F.coalesce(F.sum("afe"), F.lit(0.0))).alias("afe"))
+    return rounded(checks.mean_by(sized.filter(F.col("afe").isNotNull()), "afe", "adult_equiv"), 6, "mean_afe", "slope", "corr")
+
+
 @query("loglog_fit", "cons_agg", """
     SELECT count(*) AS n, round(regr_slope(ly, lx), 6) AS slope, round(corr(lx, ly), 6) AS corr
     FROM (SELECT ln(exp_aeq_month) AS lx, ln(cons_aeq_adj) AS ly FROM cons_agg

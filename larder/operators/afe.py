@@ -162,14 +162,16 @@ def unassigned_people(df: DataFrame) -> DataFrame:
 def household_information(df: DataFrame, fix_f15: bool = False) -> DataFrame:
     """Household attributes and AFE, one row per household.
 
-    Attributes come from the household's smallest attribute row, and the sum of AFE
-    from the same aggregate: one shuffle, no join. A household with nobody in an age
-    group keeps a missing AFE.
+    People are summed by household and attributes first, a hash aggregate that leaves a row or
+    a few per household; only those are sorted for the smallest attribute row. Both steps
+    need the household's one shuffle, and no join. A household with nobody in an age group
+    keeps a missing AFE.
     """
     people = with_person_afe(df, fix_f15)
-    grouped = people.groupBy("hhid").agg(
+    alike = people.groupBy("hhid", *HH_ATTRIBUTES).agg(F.sum("afe").alias("_afe"), F.count("grp").alias("_grouped"))
+    grouped = alike.groupBy("hhid").agg(
         F.min(F.struct(*HH_ATTRIBUTES)).alias("_first"),
-        F.when(F.count("grp") > 0, total(F.col("afe"))).alias("afe"),
+        F.when(F.sum("_grouped") > 0, total(F.col("_afe"))).alias("afe"),
     )
     return grouped.select("hhid", *[F.col("_first")[c].alias(c) for c in HH_ATTRIBUTES], "afe")
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators.ordering import quantile_at, ranked
+from larder.operators.ordering import quantile_at, quantiles_exact, ranked
 
 
 def summary_stats(df: DataFrame, col: str, tie: Sequence[str]) -> DataFrame:
@@ -26,30 +26,34 @@ def summary_stats(df: DataFrame, col: str, tie: Sequence[str]) -> DataFrame:
         F.count_if("_missing").alias("n_missing"))
 
 
-def histogram(df: DataFrame, col: str, lo: float = 0, hi: float = 10000, bins: int = 30) -> DataFrame:
-    """Rows per equal-width bin of [lo, hi); values outside are left out."""
+def histogram(df: DataFrame, col: str, lo: float = 0, hi: float = 10000, bins: int = 30,
+              tie: Sequence[str] | None = None) -> DataFrame:
+    """Rows per equal-width bin of [lo, hi); values outside are left out.
+
+    With ``tie`` (columns that tell equal values apart) every bin also shows the exact median of
+    all known values, those outside the bins included.
+    """
     value = F.col(col)
     inside = df.filter((value >= lo) & (value < hi))
     bin_no = F.width_bucket(value, F.lit(float(lo)), F.lit(float(hi)), F.lit(bins))
     width = (hi - lo) / bins
-    return (inside.groupBy(bin_no.alias("bin")).agg(F.count("*").alias("n"))
-            .withColumn("bin_start", F.lit(float(lo)) + (F.col("bin") - 1) * F.lit(width)))
+    counted = (inside.groupBy(bin_no.alias("bin")).agg(F.count("*").alias("n"))
+               .withColumn("bin_start", F.lit(float(lo)) + (F.col("bin") - 1) * F.lit(width)))
+    if tie is None:
+        return counted
+    # One row against at most ``bins`` rows.
+    return counted.crossJoin(F.broadcast(quantiles_exact(df, col, [0.5], tie, names=["median"])))
 
 
 def mean_by(df: DataFrame, y: str, x: str) -> DataFrame:
     """Mean of ``y`` at each value of ``x``, beside the line through all rows.
 
-    Groups and the overall fit come from one scan as two grouping sets; the window then
-    copies the fit to every row of that report.
+    The fit is one row, joined to the groups as such: ``x`` may be continuous, with nearly as
+    many groups as rows.
     """
-    rows = df.select(F.col(x).alias("_at"), F.col(x), F.col(y))
-    sets = rows.groupingSets([[F.col("_at")], []], F.col("_at")).agg(
-        F.grouping("_at").alias("_overall"), F.count("*").alias("n"), F.avg(y).alias(f"mean_{y}"),
-        _slope(y, x).alias("_slope"), _correlation(y, x).alias("_corr"))
-    report = Window.partitionBy(F.lit(0))
-    fit = {c: F.max(F.when(F.col("_overall") == 1, F.col(f"_{c}"))).over(report) for c in ("slope", "corr")}
-    return sets.withColumns(fit).filter(F.col("_overall") == 0).select(
-        F.col("_at").alias(x), "n", f"mean_{y}", "slope", "corr")
+    groups = df.groupBy(x).agg(F.count("*").alias("n"), F.avg(y).alias(f"mean_{y}"))
+    fit = df.agg(_slope(y, x).alias("slope"), _correlation(y, x).alias("corr"))
+    return groups.crossJoin(F.broadcast(fit))
 
 
 def log_log_fit(df: DataFrame, y: str, x: str, lo: float = 0, hi: float = 20) -> DataFrame:

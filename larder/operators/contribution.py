@@ -15,7 +15,7 @@ from larder.sources.tables import Survey
 
 GROUPS = ("total", "risk", "not_risk")
 OTHERS = "Others"
-TOP_ITEMS, TOP_REPORTED = 200, 20
+TOP_REPORTED = 20
 
 
 def item_intakes(survey: Survey, flags: DataFrame | None, nutrients: Sequence[str],
@@ -54,12 +54,8 @@ def item_intakes(survey: Survey, flags: DataFrame | None, nutrients: Sequence[st
 
 
 def food_contributions_all(survey: Survey, flags: DataFrame | None, nutrients: Sequence[str] = params.CORE_NUTRIENTS,
-                           groups: Sequence[str] = GROUPS, top_n: int = TOP_ITEMS) -> DataFrame:
-    """Percent of each nutrient's intake per item for every risk group, ``top_n`` per pair.
-
-    The rank filter is planned as a group limit, so each task passes on no more than
-    ``top_n`` rows per nutrient and group; ties follow item code and name.
-    """
+                           groups: Sequence[str] = GROUPS) -> DataFrame:
+    """Percent of each nutrient's intake per item for every risk group: all items that contribute."""
     wide = item_intakes(survey, flags, nutrients, groups)
     columns = [f"{n}__{g}" for n in nutrients for g in groups]
     totals = wide.agg(*[F.sum(F.when(F.col(c) > 0, F.col(c))).alias(f"_total_{c}") for c in columns])
@@ -69,30 +65,26 @@ def food_contributions_all(survey: Survey, flags: DataFrame | None, nutrients: S
     rows = shares.unpivot(["item_code", "item_name"], columns, "_pair", "contribution_pct").filter(
         F.col("contribution_pct").isNotNull())
     pair = F.split("_pair", "__")
-    rows = rows.select(pair[0].alias("nutrient"), pair[1].alias("grp"), "item_code", "item_name", "contribution_pct")
-    best = Window.partitionBy("nutrient", "grp").orderBy(F.col("contribution_pct").desc(), "item_code", "item_name")
-    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n)
+    return rows.select(pair[0].alias("nutrient"), pair[1].alias("grp"), "item_code", "item_name", "contribution_pct")
 
 
-def food_contribution(survey: Survey, flags: DataFrame | None, nutrient: str, group: str = "total",
-                      top_n: int = TOP_ITEMS) -> DataFrame:
-    """Items by share of one nutrient in one risk group."""
+def food_contribution(survey: Survey, flags: DataFrame | None, nutrient: str, group: str = "total") -> DataFrame:
+    """Every item's share of one nutrient in one risk group."""
     if group not in GROUPS:
         raise ValueError(group)
-    return food_contributions_all(survey, flags, [nutrient], [group], top_n).select(
-        "item_code", "item_name", "contribution_pct")
+    return food_contributions_all(survey, flags, [nutrient], [group]).select("item_code", "item_name", "contribution_pct")
 
 
-def contribution_table(ranked: DataFrame, by: Sequence[str] = ("nutrient",)) -> DataFrame:
-    """Shares of the three groups side by side, 0 where an item is not listed, and
+def contribution_table(shares: DataFrame, by: Sequence[str] = ("nutrient",)) -> DataFrame:
+    """Shares of the three groups side by side, 0 where an item contributes nothing, and
     ``contribution_pct_delta`` = not at risk minus at risk.
 
-    ``ranked`` comes from ``food_contributions_all``; an item listed in any group gets a
-    row, as three full joins would give, from one conditional aggregate.
+    ``shares`` comes from ``food_contributions_all``; an item with a share in any group gets
+    a row, as three full joins would give, from one conditional aggregate.
     """
     keys = [*by, "item_code", "item_name"]
     names = {"total": "contribution_pct_all", "risk": "contribution_pct_risk", "not_risk": "contribution_pct_not_risk"}
-    wide = ranked.groupBy(*keys).agg(*[
+    wide = shares.groupBy(*keys).agg(*[
         F.coalesce(F.max(F.when(F.col("grp") == g, F.col("contribution_pct"))), F.lit(0.0)).alias(c)
         for g, c in names.items()])
     return wide.withColumn("contribution_pct_delta",
@@ -107,17 +99,22 @@ def top_delta(table: DataFrame, k: int = 5, by: Sequence[str] = ("nutrient",), d
             .select(*by, "rank", "item_name", *[F.bround(c, digits).alias(c) for c in shares]))
 
 
-def top_n_others(ranked: DataFrame, n: int = TOP_REPORTED, by: Sequence[str] = ("nutrient",)) -> DataFrame:
-    """The first ``n`` items of each ranking and the sum of its other items.
+def top_n_others(shares: DataFrame, n: int = TOP_REPORTED, by: Sequence[str] = ("nutrient",)) -> DataFrame:
+    """The first ``n`` items by share and the sum of all other items.
 
-    ``ranked`` has at most ``top_n`` rows per group already. The "Others" row is always
-    there, 0 when nothing is left over. Shares are rounded to whole percent.
+    The rank filter is planned as a group limit, so each task passes on no more than ``n``
+    rows per group, ties by item code and name; "Others" is what the listed items leave of the
+    group's sum. That row is always there, 0 when nothing is left over. Whole percents.
     """
-    top = F.col("rank") <= n
-    listed = ranked.filter(top).select(*by, "rank", "item_name", "contribution_pct")
-    rest = ranked.groupBy(*by).agg(
-        F.lit(n + 1).alias("rank"), F.lit(OTHERS).alias("item_name"),
-        total(F.when(~top, F.col("contribution_pct"))).alias("contribution_pct"))
-    rows = listed.unionByName(rest).withColumn("contribution_pct", F.bround("contribution_pct", 0))
+    best = Window.partitionBy(*by).orderBy(F.col("contribution_pct").desc(), "item_code", "item_name")
+    listed = shares.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
+    sums = shares.groupBy(*by).agg(total(F.col("contribution_pct")).alias("_all"))
+    top = listed.groupBy(*by).agg(total(F.col("contribution_pct")).alias("_top"))
+    # A row per group on either side.
+    rest = na_join(sums, top, list(by)).select(
+        *by, F.lit(n + 1).alias("rank"), F.lit(OTHERS).alias("item_name"),
+        F.greatest(F.col("_all") - F.coalesce("_top", F.lit(0.0)), F.lit(0.0)).alias("contribution_pct"))
+    rows = listed.select(*by, "rank", "item_name", "contribution_pct").unionByName(rest)
+    rows = rows.withColumn("contribution_pct", F.bround("contribution_pct", 0))
     share = F.col("contribution_pct").cast("bigint").cast("string")
     return rows.withColumn("label", F.concat("item_name", F.lit("\n"), share, F.lit("%")))

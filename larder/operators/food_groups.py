@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larder import params
 from larder.functions.missing import ratio, total
-from larder.operators.joins import na_join
+from larder.operators.joins import na_join, once_per_key
 
 NUTRITIOUS = "Nutritious foods"
 
@@ -39,9 +39,9 @@ def item_energy(quantities: DataFrame, fct: DataFrame, groups: DataFrame | None
 def regroup(df: DataFrame, mapping: DataFrame, default: str = params.OTHER_FOODS) -> DataFrame:
     """Food group -> reported group; unknown or missing groups take ``default``.
 
-    ``mapping`` is a frame of literals (``params.food_group_frame``), hence the hint.
+    A group with two entries in ``mapping`` is refused when the plan runs.
     """
-    joined = df.join(F.broadcast(mapping), "food_group", "left")
+    joined = na_join(df, once_per_key(mapping.select("food_group", "food_group_new"), "food_group"), "food_group")
     return joined.withColumn("food_group_new", F.coalesce(F.col("food_group_new"), F.lit(default)))
 
 

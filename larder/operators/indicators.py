@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larder import params
 from larder.functions.missing import percent
 from larder.functions.nutrition import below_requirement, iron_inadequacy, with_mar
-from larder.operators.survey import SurveyDesign, weighted_mean
+from larder.operators.survey import SurveyDesign
 
 
 def short_name(nutrient: str) -> str:
@@ -34,7 +34,7 @@ def fe_prevalence(df: DataFrame, weight: str | None, by: Sequence[str] = (), bio
     ``strict`` makes a group with any missing intake NULL; by default such rows are ignored.
     """
     design = SurveyDesign(df.withColumn("_p", iron_inadequacy(F.col(iron), bioavailability)), weight)
-    estimate = percent(weighted_mean(F.col("_p"), design.weights()), digits)
+    estimate = percent(design.mean_of("_p"), digits)
     if strict:
         estimate = F.when(F.count_if(F.col("_p").isNull()) == 0, estimate)
     grouped = design.df.groupBy(*by) if by else design.df

@@ -38,6 +38,14 @@ def na_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str
     return joined.drop(*[f"_right_{k}" for k in keys])
 
 
+def once_per_key(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with one row per key; a key with more rows raises when the plan runs, as it would multiply what is joined."""
+    rest = [c for c in df.columns if c != key]
+    twice = F.raise_error(F.concat(F.lit(f"more than one row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    one = df.groupBy(key).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
+    return one.select(key, *[F.when(F.col("_n") > 1, twice.cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in rest])
+
+
 def with_solid_key(df: DataFrame, key: str) -> DataFrame:
     """Replace ``key`` by a pair of columns that are never NULL.
 

@@ -30,14 +30,19 @@ class SurveyDesign:
     """A table with sampling weights and, optionally, strata.
 
     ``weight=None`` weighs every row 1; a name that is not a column is an error, so a
-    misspelt weight cannot silently turn an estimate into an unweighted one.
+    misspelt weight cannot silently turn an estimate into an unweighted one. A row with a
+    value but without a weight raises when an estimate runs (``on_null="raise"``, checked
+    in the estimate's own aggregate) or is left out (``on_null="drop"``).
     """
 
     df: DataFrame
     weight: str | None
     strata: str | None = None
+    on_null: str = "raise"
 
     def __post_init__(self) -> None:
+        if self.on_null not in ("raise", "drop"):
+            raise ValueError(self.on_null)
         absent = [c for c in (self.weight, self.strata) if c is not None and c not in self.df.columns]
         if absent:
             raise ValueError(f"not in the table: {absent}")
@@ -57,17 +62,17 @@ class SurveyDesign:
             F.sum(w).alias("sum_weights"),
         )
 
-    def require_weights(self, on_null: str = "raise") -> SurveyDesign:
-        """Refuse or drop rows without a weight. ``raise`` runs a count."""
-        if self.weight is None:
-            return self
-        if on_null == "drop":
-            return replace(self, df=self.df.filter(F.col(self.weight).isNotNull()))
-        if on_null != "raise":
-            raise ValueError(on_null)
-        if not self.df.filter(F.col(self.weight).isNull()).isEmpty():
-            raise ValueError(f"rows without a weight in {self.weight}")
-        return self
+    def _refusing(self, estimate: Column, unweighted: Column) -> Column:
+        """``estimate``, or an error if ``unweighted`` rows were counted and are not to be dropped."""
+        if self.weight is None or self.on_null == "drop":
+            return estimate
+        error = F.raise_error(F.lit(f"rows without a weight in {self.weight}")).cast("double")
+        return F.when(unweighted > 0, error).otherwise(estimate)
+
+    def mean_of(self, variable: str) -> Column:
+        """The weighted mean as an aggregate, under the design's rule for missing weights."""
+        x, w = F.col(variable), self.weights()
+        return self._refusing(weighted_mean(x, w), F.count_if(w.isNull() & x.isNotNull()))
 
     def complete(self, columns: Sequence[str]) -> SurveyDesign:
         """Only rows with every one of ``columns`` present."""
@@ -80,7 +85,7 @@ class SurveyDesign:
         A mapping gives output names: ``{variable: name}``.
         """
         names = _names(variables)
-        estimates = [_scaled(weighted_mean(F.col(v), self.weights()), digits, as_percent).alias(n)
+        estimates = [_scaled(self.mean_of(v), digits, as_percent).alias(n)
                      for v, n in names.items()]
         return self.df.groupBy(*by).agg(*estimates) if by else self.df.agg(*estimates)
 
@@ -95,7 +100,7 @@ class SurveyDesign:
         names = _names(variables)
         grouped = self.df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(
             *[F.grouping(c).alias(f"_over_{c}") for c in overall],
-            *[weighted_mean(F.col(v), self.weights()).alias(n) for v, n in names.items()])
+            *[self.mean_of(v).alias(n) for v, n in names.items()])
         return grouped.select(
             *[F.when(F.col(f"_over_{c}") == 1, F.lit(overall[c])).otherwise(F.col(c)).alias(c)
               if c in overall else F.col(c) for c in columns],
@@ -115,16 +120,20 @@ class SurveyDesign:
         do rows without a value, unless ``missing_counts`` is false: then they are no part of
         the design, as after ``complete([variable])`` but without computing it twice.
         ``degrees`` defaults to rows minus strata. A stratum of one row that takes part
-        leaves the error NULL. Rows without a weight are not part of the design.
+        leaves the error NULL. Rows without a weight are not part of the design; one that has
+        a value raises unless ``on_null`` is ``drop``.
         """
         out = out or variable
         by = list(by)
         x, w = F.col(variable), self.weights()
         strata = [self.strata] if self.strata else []
-        rows = self.df.filter(w.isNotNull()).select(
-            *by, *strata, x.alias("_x"), (w * x).alias("_wx"), F.when(x.isNotNull(), w).alias("_w"))
+        kept = self.df if self.on_null == "raise" else self.df.filter(w.isNotNull())
+        rows = kept.select(
+            *by, *strata, F.when(w.isNotNull(), x).alias("_x"), (w * x).alias("_wx"), F.when(x.isNotNull(), w).alias("_w"),
+            w.isNotNull().alias("_weighed"), (w.isNull() & x.isNotNull()).alias("_unweighed"))
         cells = rows.groupBy(*by, *strata).agg(
-            F.count(F.lit(1) if missing_counts else "_x").alias("_rows"), F.count("_wx").alias("_n"),
+            (F.count_if("_weighed") if missing_counts else F.count("_x")).alias("_rows"), F.count("_wx").alias("_n"),
+            F.count_if("_unweighed").alias("_bad"),
             F.avg("_wx").alias("_mx"), F.avg("_w").alias("_mw"),
             F.var_pop("_wx").alias("_vx"), F.var_pop("_w").alias("_vw"), F.covar_pop("_wx", "_w").alias("_c"),
             F.min("_x").alias("_low"), F.max("_x").alias("_high"))
@@ -155,7 +164,7 @@ class SurveyDesign:
         part = ratio(F.col("_nh"), F.col("_nh") - 1) * (sum_z2 - ratio(sum_z * sum_z, F.col("_nh")))
         cells = cells.withColumn("_part", F.when((F.col("_n") == 0) | F.col("_flat"), F.lit(0.0)).otherwise(part))
         result = cells.groupBy(*by).agg(
-            F.first("_m").alias("_m"), F.first("_sw").alias("_sw"),
+            self._refusing(F.first("_m"), F.sum("_bad")).alias("_m"), F.first("_sw").alias("_sw"),
             F.when(F.count_if(F.col("_part").isNull()) == 0, F.sum("_part")).alias("_ss"),
             F.first(F.col("_nall") - F.col("_strata")).alias("_df"))
         se = ratio(F.sqrt(F.greatest(F.col("_ss"), F.lit(0.0))), F.col("_sw"))

@@ -16,7 +16,7 @@ from larder.functions.missing import percent
 from larder.functions.nutrition import below_requirement, iron_inadequacy, with_mar, with_mpa
 from larder.operators import contribution, coverage, food_groups
 from larder.operators.indicators import prevalence, short_name
-from larder.operators.survey import SurveyDesign, gap, long, quintile_label, weighted_mean
+from larder.operators.survey import SurveyDesign, gap, long, quintile_label
 from larder.sources.staging import stage
 from larder.sources.tables import Survey, write_report, write_table
 
@@ -25,11 +25,11 @@ def _indicators(households: DataFrame, weight: str, iron_weight: str | None, bio
                 by: Sequence[str], digits: int) -> DataFrame:
     rows = with_mar(below_requirement(households, params.CUT_POINT_NUTRIENTS), params.CORE_NUTRIENTS)
     rows = rows.withColumn("_iron", iron_inadequacy(F.col("fe_mg"), bioavailability))
-    w, wi = SurveyDesign(rows, weight).weights(), SurveyDesign(rows, iron_weight).weights()
+    design, iron = SurveyDesign(rows, weight), SurveyDesign(rows, iron_weight)
     return rows.groupBy(*by).agg(
-        *[percent(weighted_mean(F.col(f"{n}_inadequate"), w), digits).alias(short_name(n)) for n in params.CUT_POINT_NUTRIENTS],
-        percent(weighted_mean(F.col("_iron"), wi), digits).alias("fe_inadequacy"),
-        percent(weighted_mean(F.col("mar_inadequate"), w), 1).alias("mar"))
+        *[percent(design.mean_of(f"{n}_inadequate"), digits).alias(short_name(n)) for n in params.CUT_POINT_NUTRIENTS],
+        percent(iron.mean_of("_iron"), digits).alias("fe_inadequacy"),
+        percent(design.mean_of("mar_inadequate"), 1).alias("mar"))
 
 
 def region_report(households: DataFrame, weight: str, by: Sequence[str] = ("adm1",),
@@ -75,9 +75,9 @@ def contribution_report(survey: Survey, intake: DataFrame, out: str,
                         nutrients: Sequence[str] = params.CORE_NUTRIENTS) -> dict[str, str]:
     """Write all shares, the five most telling items and the top-20 lists, a folder per nutrient each."""
     flags = below_requirement(intake, nutrients).select("hhid", *[f"{n}_inadequate" for n in nutrients])
-    ranked = contribution.food_contributions_all(survey, flags, nutrients)
-    shares = write_table(ranked, f"{out}/shares", "ranked", partition_by=["nutrient"])
-    written = ranked.sparkSession.read.schema(ranked.schema).parquet(shares)
+    found = contribution.food_contributions_all(survey, flags, nutrients)
+    shares = write_table(found, f"{out}/shares", "all", partition_by=["nutrient"])
+    written = found.sparkSession.read.schema(found.schema).parquet(shares)
     delta = contribution.top_delta(contribution.contribution_table(written))
     top = contribution.top_n_others(written.filter(F.col("grp") == "total"))
     return {"shares": shares, "delta": write_report(delta, f"{out}/delta"), "top20": write_report(top, f"{out}/top20")}

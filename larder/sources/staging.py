@@ -1,37 +1,54 @@
-"""Where intermediate results go when lineage has to be cut.
+"""Where intermediate results go when lineage has to be cut, and who removes them.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``: shared
-storage, so that a lost executor does not lose the stage. Only a local session
-without that setting (tests, a laptop) gets a folder of its own.
+The folder is the one the cluster names in ``spark.checkpoint.dir``: shared storage, so that
+a lost executor does not lose the stage. Where that is unset, it is a folder of the
+warehouse, which is shared too. Stages made inside ``owned`` are removed at its end.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWNERS: list[list[str]] = []
+
 
 def staging_root(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if not named:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            named = tempfile.mkdtemp(prefix="larder-staging-")
-        context.setCheckpointDir(named)
-    return named or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages").rstrip("/")
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
     """A path under the staging folder that no other job uses."""
-    return f"{staging_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what was staged inside. Frames that read those stages must be used up by then."""
+    paths: list[str] = []
+    _OWNERS.append(paths)
+    try:
+        yield
+    finally:
+        _OWNERS.remove(paths)
+        for path in paths:
+            remove(spark, path)
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the staging folder and continue from there.
+    """Materialise ``df`` once in the staging folder and continue from there. This is an action: it runs a job.
 
     Written as Parquet rather than as an RDD checkpoint: the rows are computed once
     (a checkpoint computes them twice), and later readers get column pruning, file

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from larder import params
 from larder.functions.missing import drop_nan
+from larder.operators.joins import once_per_key
 from larder.sources import schemas
 
 MISSING = "NA"
@@ -96,7 +97,11 @@ def decode(df: DataFrame, column: str, labels: Mapping[int, str]) -> DataFrame:
 
 
 def decode_with(df: DataFrame, column: str, dim: DataFrame) -> DataFrame:
-    """Like ``decode`` with the labels in a (code, label) frame built by ``labels_dim``."""
-    labels = F.broadcast(dim.select(F.col("code").alias("_code"), F.col("label").alias("_label")))
-    joined = df.join(labels, F.col(column) == F.col("_code"), "left")
+    """Like ``decode`` with the labels in a (code, label) frame; its size decides how it is joined.
+
+    A code with two labels is refused when the plan runs: it would multiply rows. A missing
+    code takes the label of the frame's missing code, if it has one.
+    """
+    labels = once_per_key(dim.select(F.col("code").alias("_code"), F.col("label").alias("_label")), "_code")
+    joined = df.join(labels, F.col(column).eqNullSafe(F.col("_code")), "left")
     return joined.select(*[F.col("_label").alias(c) if c == column else F.col(c) for c in df.columns])

@@ -72,13 +72,20 @@ class TestContribution:
         out = contribution.food_contributions_all(survey, flags, ["zn_mg"])
         sums = {r.grp: r[1] for r in out.groupBy("grp").sum("contribution_pct").collect()}
         assert sums == pytest.approx({"total": 100, "risk": 100, "not_risk": 100})
-        risk = out.filter("grp = 'risk'").orderBy("rank").collect()
+        risk = out.filter("grp = 'risk'").orderBy("contribution_pct", "item_code").collect()
         assert [r.item_code for r in risk] == list(range(1, 30))  # ties by code; the item without zinc is left out
 
-    def test_top_n_and_ties(self, many):
-        survey, flags = many
-        out = contribution.food_contribution(survey, flags, "zn_mg", "risk", top_n=3).collect()
-        assert [r.item_code for r in sorted(out, key=lambda r: r.item_code)] == [1, 2, 3]
+    def test_long_lists_stay_whole(self, rows):
+        items = range(1, 401)
+        hh = rows("hhid string, afe double", ("a", 1.0))
+        food = rows("hhid string, item_code int, quantity_100g double", *[("a", i, 1.0) for i in items])
+        fct = rows("item_code int, item_name string, zn_mg double", *[(i, f"food {i:03d}", 1.0) for i in items])
+        shares = contribution.food_contributions_all(Survey(hh, food, fct), None, ["zn_mg"], ["total"])
+        assert shares.count() == 400
+        assert shares.groupBy().sum("contribution_pct").first()[0] == pytest.approx(100)
+        top = contribution.top_n_others(shares).orderBy("rank").collect()
+        assert [r.item_name for r in top[:3]] == ["food 001", "food 002", "food 003"]  # ties by code
+        assert top[20].contribution_pct == 95.0
 
     def test_group_needs_flags(self, many):
         with pytest.raises(ValueError):
@@ -87,8 +94,8 @@ class TestContribution:
             contribution.food_contribution(*many, "zn_mg", "other")
 
     def test_table_fills_with_zero(self, rows):
-        ranked = rows("nutrient string, grp string, item_code int, item_name string, contribution_pct double, rank int",
-                      ("zn_mg", "total", 1, "a", 60.0, 1), ("zn_mg", "risk", 2, None, 30.0, 1), ("zn_mg", "not_risk", 1, "a", 10.0, 1))
+        ranked = rows("nutrient string, grp string, item_code int, item_name string, contribution_pct double",
+                      ("zn_mg", "total", 1, "a", 60.0), ("zn_mg", "risk", 2, None, 30.0), ("zn_mg", "not_risk", 1, "a", 10.0))
         table = contribution.contribution_table(ranked)
         assert got(table) == [("zn_mg", 1, "a", 60.0, 0.0, 10.0, 10.0), ("zn_mg", 2, None, 0.0, 30.0, 0.0, -30.0)]
         assert [r.item_name for r in contribution.top_delta(table, 1).collect()] == ["a"]
@@ -104,8 +111,8 @@ class TestContribution:
         assert by_rank[21].contribution_pct == round(rest)
 
     def test_others_is_there_when_empty(self, rows):
-        ranked = rows("nutrient string, grp string, item_code int, item_name string, contribution_pct double, rank int",
-                      ("zn_mg", "total", 1, "a", 100.0, 1))
+        ranked = rows("nutrient string, grp string, item_code int, item_name string, contribution_pct double",
+                      ("zn_mg", "total", 1, "a", 100.0))
         assert [(r.item_name, r.contribution_pct, r.label) for r in contribution.top_n_others(ranked).orderBy("rank").collect()] == [
             ("a", 100.0, "a\n100%"), ("Others", 0.0, "Others\n0%")]
 

@@ -10,7 +10,7 @@ from larder.operators.joins import na_join
 from larder.operators.ordering import ntile_exact
 from larder.plans import reports
 from larder.plans.base_model import RawSurvey, build
-from larder.sources import schemas, tables
+from larder.sources import schemas, staging, tables
 from larder.sources.adapters import ISO3, SURVEY, Tables
 from larder.sources.staging import stage, staging_root
 from larder.sources.tables import Survey
@@ -195,3 +195,27 @@ def test_parameters_are_complete():
     assert len(params.IRON_PROBABILITY) == 14
     assert all(len(e) == 13 and list(e) == sorted(e) for e in params.IRON_EDGES.values())
     assert (len(params.BOY_KCAL), len(params.GIRL_KCAL), len(params.REGION_LABELS)) == (16, 13, 26)
+
+
+class TestStaging:
+    def test_a_finished_job_leaves_nothing(self, spark, rows):
+        with staging.owned(spark):
+            df = staging.stage(rows("a int", (1,), (2,)))
+            folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+            assert df.count() == 2 and os.path.isdir(folder)
+        assert not os.path.exists(folder)
+
+
+class TestDimensions:
+    def test_repeated_codes_are_refused(self, rows):
+        facts = rows("code int", (1,), (2,), (None,))
+        dim = rows("code int, label string", (1, "a"), (None, "none"))
+        assert sorted(str(r.code) for r in tables.decode_with(facts, "code", dim).collect()) == ["None", "a", "none"]
+        twice = rows("code int, label string", (1, "a"), (1, "b"))
+        with pytest.raises(Exception, match="more than one row for _code 1"):
+            tables.decode_with(facts, "code", twice).collect()
+
+    def test_no_forced_broadcast(self, spark, rows):
+        dim = spark.range(2_000_000).select(F.col("id").cast("int").alias("code"), F.sha2(F.col("id").cast("string"), 256).alias("label"))
+        plan = tables.decode_with(rows("code int", (1,)), "code", dim)._jdf.queryExecution().optimizedPlan().toString()
+        assert "broadcast" not in plan.lower()

@@ -55,10 +55,15 @@ class TestDesign:
         design = SurveyDesign(df, "w")
         check = design.check().first()
         assert (check.n_rows, check.null_weights, check.non_positive_weights) == (3, 1, 0)
-        assert design.mean(["x"]).first().x == 0.25
+        kept = SurveyDesign(df, "w", on_null="drop")
+        assert kept.mean(["x"]).first().x == kept.mean_ci("x").first().x == 0.25
+        for estimate in (lambda d: d.mean(["x"]), lambda d: d.mean_ci("x"), lambda d: d.mean_sets(["x"], [[]], {})):
+            with pytest.raises(Exception, match="rows without a weight in w"):
+                estimate(design).collect()
+        unknown = rows("w double, x double", (None, None), (1.0, 1.0))  # no value, so no weight is needed
+        assert SurveyDesign(unknown, "w").mean(["x"]).first().x == 1.0
         with pytest.raises(ValueError):
-            design.require_weights()
-        assert design.require_weights("drop").df.count() == 2
+            SurveyDesign(df, "w", on_null="ignore")
 
     def test_zero_weights_give_no_estimate(self, rows):
         assert SurveyDesign(rows("w double, x double", (0.0, 1.0)), "w").mean(["x"]).first().x is None
