@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larder.catalogue import query, rounded
 from larder.catalogue.intakes import s_wmean
 from larder.operators import coverage
+from larder.plans.reports import coverage_report
 from larder.sources.adapters import DROP_REGIONS
 
 ELIGIBLE = "(SELECT * FROM vas WHERE eligible_child = 1)"
@@ -61,6 +62,20 @@ def vas_region_named(t):
     return _named(t)
 
 
+@query("coverage_report", "vas region_codes region_dim", f"""
+    SELECT NULL AS adm1, round({s_wmean('vas_child', 'wt')} * 100, 6) AS vas_coverage, NULL AS target_class FROM {ELIGIBLE} UNION ALL
+    SELECT r.adm1, n.vas_coverage, CASE WHEN n.vas_coverage >= 80 THEN '80% or above'
+           WHEN n.vas_coverage < 80 THEN 'Below 80%' END AS target_class
+    FROM (SELECT upper(substring(adm1, 1, 1)) || lower(substring(adm1, 2)) AS adm1 FROM region_dim) r
+    LEFT JOIN ({NAMED}) n ON r.adm1 IS NOT DISTINCT FROM n.adm1""")
+def coverage_report_(t):
+    dim = t.region_dim().select(F.initcap("adm1").alias("adm1"))
+    parts = coverage_report(t.children(), t.region_codes(), dim, DROP_REGIONS.title())
+    none = F.lit(None).cast("string")
+    national = rounded(parts["national"]).select(none.alias("adm1"), "vas_coverage", none.alias("target_class"))
+    return national.unionByName(parts["region"].select("adm1", "vas_coverage", "target_class"))
+
+
 @query("vas_target", "vas region_codes region_dim", f"""
     SELECT r.adm1, n.vas_coverage, CASE WHEN n.vas_coverage >= 80 THEN '80% or above'
            WHEN n.vas_coverage < 80 THEN 'Below 80%' END AS target_class

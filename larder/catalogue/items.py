@@ -9,6 +9,7 @@ from larder.catalogue import query, rounded
 from larder.functions.nutrition import below_requirement
 from larder.operators import contribution, food_groups
 from larder.operators.intake import apparent_intake
+from larder.plans.reports import energy_report
 from larder.sources.staging import stage_path
 from larder.sources.tables import write_report
 
@@ -61,15 +62,25 @@ def s_share(parts):
           FROM ({parts}) p, (SELECT sum(totalenergy_kcal) AS overall FROM {GROUPED}) o)"""
 
 
-@query("energy_share_main", VIEWS, s_share(f"""
+S_MAIN = s_share(f"""
     SELECT CASE WHEN {IN_NUTRITIOUS} THEN 'Nutritious foods' ELSE food_group_new END AS food_group_new,
-           sum(totalenergy_kcal) AS totalenergy_kcal FROM {GROUPED} GROUP BY 1 HAVING sum(totalenergy_kcal) > 0"""))
+           sum(totalenergy_kcal) AS totalenergy_kcal FROM {GROUPED} GROUP BY 1 HAVING sum(totalenergy_kcal) > 0""")
+S_NUTRITIOUS = s_share(f"SELECT * FROM {GROUPED} WHERE {IN_NUTRITIOUS}")
+
+
+@query("energy_report", VIEWS, f"SELECT *, 'main' AS part FROM ({S_MAIN}) UNION ALL SELECT *, 'nutritious' FROM ({S_NUTRITIOUS})")
+def energy_report_(t):
+    done = energy_report(t.cons(), t.hh(), t.fct(), t.food_group_map())
+    return rounded(rounded(done, 2, "totalenergy_kcal"), 6, "energypct")
+
+
+@query("energy_share_main", VIEWS, S_MAIN)
 def energy_share_main(t):
     shares = food_groups.energy_share(food_groups.group_energy(_energy(t)))
     return rounded(rounded(shares, 2, "totalenergy_kcal"), 6, "energypct")
 
 
-@query("energy_share_nutritious", VIEWS, s_share(f"SELECT * FROM {GROUPED} WHERE {IN_NUTRITIOUS}"))
+@query("energy_share_nutritious", VIEWS, S_NUTRITIOUS)
 def energy_share_nutritious(t):
     shares = food_groups.energy_share(food_groups.group_energy(_energy(t)), breakdown=True)
     return rounded(rounded(shares, 2, "totalenergy_kcal"), 6, "energypct")

@@ -8,6 +8,7 @@ from larder.catalogue import query, rounded
 from larder.operators import afe, checks, wealth
 from larder.operators.joins import na_join
 from larder.sources.adapters import ISO3, SURVEY
+from larder.sources.staging import stage
 
 
 def _people(t):
@@ -126,7 +127,7 @@ def quintile_by_residence(t):
                CAST(ntile(5) OVER (PARTITION BY i.res ORDER BY p.cons_aeq_adj, p.hhid) AS INTEGER) AS res_quintile
         FROM per_hh p JOIN hh_info i ON p.hhid = i.hhid) q ON h.hhid = q.hhid""")
 def household_table(t):
-    hh = afe.household_information(_people(t))
+    hh = stage(afe.household_information(_people(t)))  # a row per household, read for the ranks and for the table
     done = wealth.finalise_households(hh, wealth.with_quintiles(_per_hh(t), hh), ISO3, SURVEY)
     return rounded(rounded(rounded(done, 4, "survey_wgt"), 6, "afe"), 5, "pc_expenditure")
 

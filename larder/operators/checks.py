@@ -7,23 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators.ordering import quantile_at, quantiles_exact, ranked
+from larder.operators.ordering import quantiles_exact
+from larder.sources.staging import stage
 
 
 def summary_stats(df: DataFrame, col: str, tie: Sequence[str]) -> DataFrame:
-    """Minimum, quartiles, mean, maximum and number missing, from one evaluation of ``df``.
+    """Minimum, quartiles, mean, maximum and number missing; quartiles are exact.
 
-    Quartiles are exact, by distributed rank. Missing values are ranked apart and only
-    counted.
+    The rows are staged, as the quartiles read them more than once.
     """
-    value = df.select(F.col(col), *tie, F.col(col).isNull().alias("_missing"))
-    known = ranked(value, [col, *tie], ["_missing"])
-    at = known.withColumn("_rank", F.when(~F.col("_missing"), F.col("_rank"))).withColumn(
-        "_group_rows", F.when(~F.col("_missing"), F.col("_group_rows")))
-    return at.agg(
-        F.min(col).alias("min"), quantile_at(col, 0.25).alias("q1"), quantile_at(col, 0.5).alias("median"),
-        F.avg(col).alias("mean"), quantile_at(col, 0.75).alias("q3"), F.max(col).alias("max"),
-        F.count_if("_missing").alias("n_missing"))
+    value = stage(df.select(F.col(col), *tie))
+    quartiles = quantiles_exact(value, col, [0.25, 0.5, 0.75], tie, names=["q1", "median", "q3"])
+    rest = value.agg(F.min(col).alias("min"), F.avg(col).alias("mean"), F.max(col).alias("max"),
+                     F.count_if(F.col(col).isNull()).alias("n_missing"))
+    return rest.crossJoin(F.broadcast(quartiles)).select("min", "q1", "median", "mean", "q3", "max", "n_missing")  # one row each
 
 
 def histogram(df: DataFrame, col: str, lo: float = 0, hi: float = 10000, bins: int = 30,
@@ -42,7 +39,7 @@ def histogram(df: DataFrame, col: str, lo: float = 0, hi: float = 10000, bins: i
     if tie is None:
         return counted
     # One row against at most ``bins`` rows.
-    return counted.crossJoin(F.broadcast(quantiles_exact(df, col, [0.5], tie, names=["median"])))
+    return counted.crossJoin(F.broadcast(quantiles_exact(stage(df.select(col, *tie)), col, [0.5], tie, names=["median"])))
 
 
 def mean_by(df: DataFrame, y: str, x: str) -> DataFrame:

@@ -76,9 +76,10 @@ def impute_median(df: DataFrame, key: str = "item_code", col: str = "quantity_g"
                   tie: Sequence[str] = ("hhid",)) -> DataFrame:
     """Fill missing values with the exact median of the key's known values.
 
-    Medians are taken only for keys that need one. Each is found by rank, so a key
-    that holds much of the table is not gathered in one task; ``tie`` only spreads rows
-    of one key and value, and need not be unique. ``df`` is read three times: stage it first.
+    Medians are taken only for keys that need one. Each is bracketed and then found by rank
+    among the few rows in its bracket, so neither are all rows moved nor is a key that holds
+    much of the table gathered in one task; ``tie`` only spreads rows of one key and value,
+    and need not be unique. ``df`` is read several times: stage it first.
     """
     gaps = df.filter(F.col(col).isNull()).select(key).distinct()
     needed = na_join(df, gaps, key, "left_semi")
