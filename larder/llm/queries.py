@@ -118,7 +118,16 @@ def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judged(table(spark, sf_dir, "documents"))
 
 
-@_query("op9_main_text")
+# The tables' pages all have an article element; SQL says what its text is, by no windows.
+@_query("op9_main_text", r"""
+WITH bodies AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
+blocks AS (SELECT page_id, k, trim(regexp_replace(replace(replace(replace(regexp_replace(
+             regexp_replace(regexp_replace(b, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"', 'g'),
+             '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS t
+           FROM (SELECT page_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS k
+                 FROM (SELECT page_id, regexp_split_to_array(body, '</?(?:p|h1)>') AS bs FROM bodies))),
+texts AS (SELECT page_id, string_agg(t, chr(10) ORDER BY k) AS text FROM blocks WHERE t <> '' GROUP BY page_id)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(len(coalesce(text, '')) AS BIGINT) AS n_chars FROM bodies LEFT JOIN texts USING (page_id)""")
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extracted(table(spark, sf_dir, "pages"))
 
@@ -134,11 +143,41 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
-@_query("op2_near_duplicates")
+# All pairs that share a shingle, and everything reachable.
+@_query("op2_near_duplicates", r"""
+WITH RECURSIVE reps AS (SELECT coalesce(text, '') AS t, min(doc_id) AS rep FROM documents GROUP BY 1),
+words AS (SELECT rep, regexp_extract_all(lower(t), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM reps),
+shingles AS (SELECT rep, array_to_string(w[p : p + n - 1], ' ') AS s
+             FROM (SELECT rep, w, least(len(w), 5) AS n, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS p FROM words WHERE len(w) > 0)),
+bags AS (SELECT rep, s, count(*) AS c FROM shingles GROUP BY rep, s),
+sizes AS (SELECT rep, sum(c) AS n FROM bags GROUP BY rep),
+met AS (SELECT a.rep AS a, b.rep AS b, sum(least(a.c, b.c)) AS common FROM bags a JOIN bags b ON a.s = b.s AND a.rep < b.rep GROUP BY 1, 2),
+near AS (SELECT a, b FROM met JOIN sizes x ON a = x.rep JOIN sizes y ON b = y.rep WHERE common >= 0.8 * (x.n + y.n - common)),
+edges AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT rep AS node, rep AS other FROM reps UNION SELECT node, b FROM reach JOIN edges ON other = a),
+classes AS (SELECT node, min(other) AS class_id FROM reach GROUP BY node),
+placed AS (SELECT d.doc_id, class_id FROM documents d JOIN reps ON coalesce(d.text, '') = t JOIN classes ON rep = node)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS stays FROM placed""")
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classed(table(spark, sf_dir, "documents")).drop("link")
 
 
-@_query("op7_line_join")
+# One edit leaves the first eight or the last eight characters of a line of twenty as they are.
+@_query("op7_line_join", r"""
+WITH RECURSIVE split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
+rows_ AS (SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS line_no, trim(unnest(ls), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM split),
+long AS (SELECT DISTINCT line, len(line) AS n FROM rows_ WHERE len(line) >= 20),
+met AS (SELECT a.line AS a, b.line AS b FROM long a JOIN long b ON left(a.line, 8) = left(b.line, 8) AND a.line < b.line AND abs(a.n - b.n) < 2
+        UNION SELECT a.line, b.line FROM long a JOIN long b ON right(a.line, 8) = right(b.line, 8) AND a.line < b.line AND abs(a.n - b.n) < 2),
+near AS (SELECT a, b FROM met WHERE levenshtein(a, b) < 2),
+edges AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT a AS node, a AS other FROM edges UNION SELECT node, b FROM reach JOIN edges ON other = a),
+roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
+degrees AS (SELECT a AS node, count(*) AS n_links FROM edges GROUP BY a),
+placed AS (SELECT r.*, CASE WHEN line <> '' THEN coalesce(root, line) END AS root, coalesce(n_links, 0) AS n_links
+           FROM rows_ r LEFT JOIN roots ON line = roots.node LEFT JOIN degrees ON line = degrees.node),
+firsts AS (SELECT root, min((doc_id, line_no)) AS f, count(*) AS class_lines FROM placed WHERE root IS NOT NULL GROUP BY root)
+SELECT doc_id, line_no, CAST(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_words, f[1] AS class_doc_id, f[2] AS class_line_no,
+  coalesce(class_lines, 0) AS class_lines, n_links FROM placed LEFT JOIN firsts USING (root)""")
 def op7_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_join.classed(table(spark, sf_dir, "documents")).drop("root")
