@@ -377,10 +377,11 @@ def mpi_report_(t):
 @query("mpi_strata_ci", "described quintiles", f"""
     WITH d AS (SELECT *, adm1 || '.' || res AS stratum FROM ({MPI_SOURCE})),
     m AS (SELECT res, {s_wmean("mpi")} AS m, sum(CASE WHEN mpi IS NOT NULL THEN {W} END) AS sw FROM d GROUP BY res),
-    z AS (SELECT m.res, d.stratum, CASE WHEN d.res = m.res THEN {W} * (d.mpi - m.m) / m.sw ELSE 0e0 END AS z, m.m FROM d CROSS JOIN m),
-    h AS (SELECT res, stratum, any_value(m) AS m, count(*) AS n, count(*) / (count(*) - 1e0) * (sum(z * z) - sum(z) * sum(z) / count(*)) AS part
+    z AS (SELECT m.res, d.stratum, CASE WHEN d.res = m.res THEN {W} * (d.mpi - m.m) / m.sw ELSE 0e0 END AS z, m.m, d.res = m.res AS own FROM d CROSS JOIN m),
+    h AS (SELECT res, stratum, any_value(m) AS m, count(*) AS n, CASE WHEN bool_or(own)
+                 THEN count(*) / nullif(count(*) - 1e0, 0) * (sum(z * z) - sum(z) * sum(z) / count(*)) ELSE 0e0 END AS part
           FROM z GROUP BY res, stratum)
-    SELECT res, round_even(any_value(m), 3) AS mpi, round(sqrt(sum(part)), 8) AS mpi_se, CAST(sum(n) - count(*) AS BIGINT) AS df FROM h GROUP BY res""")
+    SELECT res, round_even(any_value(m), 3) AS mpi, CASE WHEN count(*) = count(part) THEN round(sqrt(sum(part)), 8) END AS mpi_se, CAST(sum(n) - count(*) AS BIGINT) AS df FROM h GROUP BY res""")
 def mpi_strata_ci(t):
     """Region by residence as strata, residence as domain."""
     design = _mpi_design(t).complete(["mpi"])

@@ -140,22 +140,18 @@ class SurveyDesign:
         # From here on: one row per group and stratum.
         one = [F.lit(0)]
         domain = Window.partitionBy(*(by or one))
-        stratum = Window.partitionBy(*(strata or one))
-        whole = Window.partitionBy(*one)
-        cells = cells.withColumns({
+        # Design totals come as one row from the same aggregate (its shuffle is reused), not from a
+        # window over all cells: with a fine ``by`` there may be very many.
+        strata_count = F.count_distinct(F.struct(*strata)) if strata else F.lit(1).cast("bigint")
+        totals = cells.agg(F.sum("_rows").alias("_nall"), strata_count.alias("_strata"))
+        cells = cells.crossJoin(F.broadcast(totals)).withColumns({
             "_sw": F.sum(F.col("_n") * F.col("_mw")).over(domain),
             "_m": ratio(F.sum(F.col("_n") * F.col("_mx")).over(domain),
                         F.sum(F.col("_n") * F.col("_mw")).over(domain)),
             # A constant has no spread; rounding would leave a trace of one.
             "_flat": F.min("_low").over(domain) == F.max("_high").over(domain),
-            "_nh": F.sum("_rows").over(stratum),
-            "_nall": F.sum("_rows").over(whole),
+            "_nh": F.sum("_rows").over(Window.partitionBy(*strata)) if strata else F.col("_nall"),
         })
-        if strata:
-            first = F.row_number().over(Window.partitionBy(*strata).orderBy(*[F.col(b) for b in by] or one)) == 1
-            cells = cells.withColumn("_first", first.cast("int")).withColumn("_strata", F.sum("_first").over(whole))
-        else:
-            cells = cells.withColumn("_strata", F.lit(1))
         m = F.col("_m")
         mean_z = F.col("_mx") - m * F.col("_mw")
         spread = F.greatest(F.col("_vx") - 2 * m * F.col("_c") + m * m * F.col("_vw"), F.lit(0.0))
