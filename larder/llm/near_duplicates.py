@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.components import components
-from larder.llm.staging import removed, staged
+from larder.llm.staging import removed, sent_if_small, staged
 from larder.llm.texts import Flat, chunked, mix, positions, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -142,7 +142,9 @@ def bucket_members(found: DataFrame) -> DataFrame:
     rows = found.where(F.size("bands") > 0).dropDuplicates(["link"]).select("link", F.explode("bands").alias("band"))
     rows = staged(rows, "bands")
     shared = rows.groupBy(F.col("band").alias("of")).agg(F.min("link").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(shared, rows["band"] == shared["of"]).select("band", "link", "hub")
+    members = staged(rows.join(shared, rows["band"] == shared["of"]).select("band", "link", "hub"), "buckets")
+    removed(rows)
+    return members
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -233,23 +235,26 @@ def block_links(links: list[bytes], classes: list[bytes], raw: list[bytes], simi
 def classes_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The (doc_id, link) rows of the documents, and (node, root) of the texts that have near duplicates."""
     found = staged(signed(docs, doc_id, text), "signatures")
-    members = staged(bucket_members(found), "buckets")
+    members = bucket_members(found)
     pairs = staged(members.where("link <> hub").select(F.col("hub").alias("a"), F.col("link").alias("b")).distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("link")).unionByName(pairs.select(F.col("b").alias("link"))).distinct()
+    wanted = staged(pairs.select(F.col("a").alias("link")).unionByName(pairs.select(F.col("b").alias("link"))).distinct(), "wanted")
     texts = docs.select(link(text).alias("link"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = staged(texts.join(wanted, "link", "left_semi").dropDuplicates(["link"]), "candidate-texts")
+    texts = staged(texts.join(sent_if_small(wanted), "link", "left_semi").dropDuplicates(["link"]), "candidate-texts")
     first = staged(verified(pairs, texts, similarity), "links")
     by_hub = components(first)
     more = _rest_of_clusters(members, by_hub, texts, similarity)
     nodes = components(first.unionByName(staged(more, "more-links")))
-    for done in (members, pairs, texts):
+    for done in (members, pairs, wanted, texts):
         removed(done)
     return found.select("doc_id", "link"), nodes
 
 
 def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, size of the class, and whether the row stays if one document of each class does."""
-    rows, nodes = classes_of(docs, doc_id, text, similarity)
+    return _classed(*classes_of(docs, doc_id, text, similarity))
+
+
+def _classed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     rooted = rows.join(nodes, rows["link"] == nodes["node"], "left").select("doc_id", "link", F.coalesce("root", "link").alias("root"))
     chosen = rooted.groupBy(F.col("root").alias("of")).agg(F.min(F.struct("doc_id", "link")).alias("first"), F.count("*").alias("class_size"))
     both = rooted.join(chosen, rooted["root"] == chosen["of"])
@@ -259,10 +264,17 @@ def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, all columns kept; of rows that repeat id and text, one."""
-    judged = staged(classed(docs, doc_id, text, similarity), "classes")
-    stays = judged.where("stays").groupBy("doc_id", "link").agg(F.count("*").alias("__times"))
-    stays = stays.select(F.col("doc_id").alias("__id"), F.col("link").alias("__link"), "__times")
-    here = docs.join(stays, docs[doc_id].eqNullSafe(stays["__id"]) & (link(text) == stays["__link"]))
-    once = here.where("__times = 1")
-    twice = here.where("__times > 1").dropDuplicates(["__id", "__link"])
-    return once.unionByName(twice).select(*docs.columns)
+    rows, nodes = classes_of(docs, doc_id, text, similarity)
+    judged = _classed(rows, nodes).groupBy(F.col("doc_id").alias("__id"), F.col("link").alias("__link")).agg(
+        F.bool_or("stays").alias("__stays"), F.count("*").alias("__times"))
+    # Most documents stay, once: only the others have to be known.
+    special = staged(judged.where("NOT __stays OR __times > 1"), "special")
+    for done in (rows, nodes):
+        removed(done)
+    repeats = not special.where("__times > 1").isEmpty()
+    special = sent_if_small(special)
+    both = docs.join(special, docs[doc_id].eqNullSafe(special["__id"]) & (link(text) == special["__link"]), "left")
+    plain = both.where("__stays IS NULL")
+    if repeats:
+        plain = plain.unionByName(both.where("__stays").dropDuplicates(["__id", "__link"]))
+    return plain.select(*docs.columns)
