@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from larder.llm.texts import Flat, Runs, chunked, mix, windows
 
 WIDTH = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 STRETCH = 256
 WORD_BYTE = np.array([not (b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F) for b in range(256)])
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)

@@ -1,7 +1,7 @@
 """Line dedup: lines that repeat across unrelated documents go, by classes of the edit join.
 
 Null texts stay null and empty ones empty; a text that had words and loses them all goes.
-Texts without a null id come before those with one when it is decided where a line stays.
+A line stays in the text with the least doc_id, null ids first.
 Repeated rows are one text: they keep and lose the same lines. Other columns are kept as
 they are, whatever their names; a column ``n_chars`` follows the text.
 """
@@ -61,7 +61,7 @@ def repeated_lines(held: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A class of near-equal lines is repeated if two or more different texts hold it that are not
     copies of each other: the holders' sketches agree with the most frequent one's, place by
-    place, in less than ``ALIKE`` of the cases. Such a class stays in the text with the least doc_id.
+    place, in less than ``ALIKE`` of the cases. Such a class stays in the first text.
     Lines that only copies share are left to the near-duplicate operator, which needs them.
     """
     texts = held.groupBy("text_link").agg(F.min("doc_id").alias("first_doc"))
@@ -69,14 +69,14 @@ def repeated_lines(held: DataFrame, nodes: DataFrame) -> DataFrame:
     flat = one.select("text_link", "sketch", F.explode("links").alias("link"))
     flat = flat.join(nodes, flat["link"] == nodes["node"], "left").withColumn("root", F.coalesce("root", "link")).drop("node")
     flat = staged(flat.join(texts, "text_link"), "held-lines")
-    holders = flat.groupBy("root").agg(F.count("*").alias("n"), F.min("first_doc").alias("stays")).where("n > 1")
+    holders = flat.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("first_doc", "text_link"))["text_link"].alias("stays")).where("n > 1")
     holders = staged(holders.withColumnRenamed("root", "of"), "holders")
     many = flat.join(holders, flat["root"] == holders["of"])
     places = many.select("root", "n", F.posexplode("sketch").alias("place", "value"))
     modes = places.groupBy("root", "place", "value").agg(F.count("*").alias("same"), F.first("n").alias("n"))
     modes = modes.groupBy("root", "place").agg(F.max("same").alias("same"), F.first("n").alias("n"))
     foreign = modes.groupBy("root").agg(F.avg((F.col("same") - 1) / (F.col("n") - 1)).alias("alike")).where(F.col("alike") < ALIKE)
-    going = many.where("first_doc <> stays OR first_doc IS NULL").join(foreign.select("root"), "root", "left_semi")
+    going = many.where(many["text_link"] != many["stays"]).join(foreign.select("root"), "root", "left_semi")
     found = staged(going.groupBy("text_link").agg(F.collect_set("link").alias("drop")), "repeated-lines")
     for done in (flat, holders):
         removed(done)

@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from larder.llm.texts import Flat, chunked, mix
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 FOLDS, HELD_OUT = 5, 0
 BUCKETS, DIMENSIONS = 1 << 18, 4
 PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 WIDTHS, FILTERS = (1, 2, 3), 8
 EPOCHS, BATCH, RATE = 6, 64, 0.02
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _WORD = np.array([chr(b).isalnum() and b < 0x80 or b >= 0x80 or chr(b) == "'" for b in range(256)])
 _SEEDS = mix(np.arange(1, len(PREFIXES) + 2, dtype=np.uint64))
 
@@ -131,11 +131,11 @@ class _Adam:
         return value - self.rate * self.m / (1 - 0.9 ** self.t) / (np.sqrt(self.v / (1 - 0.99 ** self.t)) + 1e-8)
 
 
-def evidence(feats: list[np.ndarray], toxic: np.ndarray, buckets: int) -> np.ndarray:
+def evidence(feats: np.ndarray, stops: np.ndarray, toxic: np.ndarray, buckets: int) -> np.ndarray:
     """For each feature how far the log odds of texts that have it lie from those of all, in standard errors, less 2."""
     held = np.zeros((2, buckets))
-    for rows, label in zip(feats, toxic, strict=True):
-        held[label, np.unique(rows)] += 1
+    for start, stop, label in zip(np.r_[0, stops[:-1]], stops, toxic, strict=True):
+        held[label, np.unique(feats[start:stop])] += 1
     n = np.bincount(toxic, minlength=2)[:, None]
     a, b = held[1] + 0.5 * n[1] / n.sum(), held[0] + 0.5 * n[0] / n.sum()
     z = (np.log(a / b) - np.log(n[1] / n[0])) / np.sqrt(1 / (held[1] + 0.5) + 1 / (held[0] + 0.5))
@@ -150,9 +150,13 @@ def trained(raw: list[bytes], toxic: np.ndarray, buckets: int = BUCKETS, seed: i
     if not 0 < toxic.sum() < len(toxic):
         return Network(np.zeros((1, 1)), [], [], np.zeros(0), 0.0, float(toxic.mean()) if len(toxic) else 0.0)
     draw = np.random.default_rng(seed)
-    feats = [features([x], buckets)[0] for x in raw]
+    # One array for all texts: freed at once, it goes back to the system.
+    parts = [features(raw[at:at + 100], buckets) for at in range(0, len(raw), 100)]
+    feats, counts = np.concatenate([f for f, _ in parts]), np.concatenate([c for _, c in parts])
+    del parts
+    stops = np.cumsum(counts)
     start = np.zeros((buckets, DIMENSIONS), np.float32)
-    start[:, 0] = np.clip(evidence(feats, toxic, buckets) / 3, -1, 2)
+    start[:, 0] = np.clip(evidence(feats, stops, toxic, buckets) / 3, -1, 2)
     scale = [draw.normal(0, 0.3, (w, DIMENSIONS, FILTERS)) for w in WIDTHS]
     for one in scale:
         one[:, 0] = np.abs(one[:, 0]) + 0.2
@@ -164,12 +168,13 @@ def trained(raw: list[bytes], toxic: np.ndarray, buckets: int = BUCKETS, seed: i
     for _ in range(EPOCHS):
         order = draw.permutation(len(raw))
         for at in range(0, len(order), BATCH):
-            _step(net, [feats[i] for i in order[at:at + BATCH]], toxic[order[at:at + BATCH]], hands, squared)
+            drawn = order[at:at + BATCH]
+            _step(net, np.concatenate([feats[stops[i] - counts[i]:stops[i]] for i in drawn]), counts[drawn], toxic[drawn], hands, squared)
     return net
 
 
-def _step(net: Network, feats: list[np.ndarray], toxic: np.ndarray, hands: dict, squared: np.ndarray) -> None:
-    pooled, where, rows, words = net.pooled(np.concatenate(feats), np.array([len(f) for f in feats]), places=True)
+def _step(net: Network, feats: np.ndarray, counts: np.ndarray, toxic: np.ndarray, hands: dict, squared: np.ndarray) -> None:
+    pooled, where, rows, words = net.pooled(feats, counts, places=True)
     score = 1 / (1 + np.exp(-np.clip(pooled @ net.weights + net.bias, -30, 30)))
     slope = (score - toxic) / len(toxic)
     back = slope[:, None] * net.weights * (pooled > 0)
@@ -215,8 +220,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     chosen = [named.where(F.col("toxic") == k).orderBy(F.xxhash64("label_id"), "label_id").limit(rows) for k in (0, 1)]
     # At most 2 x rows pairs of an id and a label: a bounded side.
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))
-    found = docs.join(picked, docs[doc_id] == picked["label_id"]).select(
-        F.col("label_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang"), "toxic")
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang"))
+    found = narrow.join(picked, narrow["doc_id"] == picked["label_id"]).drop("doc_id")
     found = found.orderBy("label_id", "text").limit(2 * rows)
     return found.select("text", "lang", "toxic").toArrow()
 
