@@ -32,7 +32,7 @@ from larder.llm.texts import chunked
 SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
-KEPT_WORDS = 300_000
+KEPT_WORDS = 120_000
 
 
 def default_vocabulary() -> str:

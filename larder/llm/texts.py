@@ -10,8 +10,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,15 +34,16 @@ def encoded(column: pa.Array) -> list[bytes]:
 
 def chunked(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES
             ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts, of about ``limit`` bytes of text each."""
+    """Slices of the batches with their texts, of about ``limit`` bytes of text each; only a slice is held as Python objects."""
     for batch in batches:
-        raw = encoded(batch.column(batch.schema.get_field_index(text)))
-        start = total = 0
-        for i, one in enumerate(raw):
-            total += len(one) + 1
-            if total >= limit or i == len(raw) - 1:
-                yield batch.slice(start, i + 1 - start), raw[start:i + 1]
-                start, total = i + 1, 0
+        column = batch.column(batch.schema.get_field_index(text))
+        sizes = np.zeros(len(column), np.int64) if pa.types.is_null(column.type) else pc.fill_null(pc.binary_length(column), 0).to_numpy()
+        block = np.cumsum(sizes + 1) // limit
+        edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1)) if len(block) else []
+        for start, stop in zip(edges[:-1], edges[1:], strict=True):
+            part = batch.slice(int(start), int(stop - start))
+            yield part, encoded(part.column(batch.schema.get_field_index(text)))
+        pa.default_memory_pool().release_unused()
 
 
 class Flat:
