@@ -1,7 +1,12 @@
 """Line dedup: lines that repeat across unrelated documents go, by classes of the edit join.
 
+Every text that holds a line of a class is judged by itself: the text that keeps the line and its
+near copies (verified, and in one class of the near-duplicate operator) keep it, all others lose
+it. Near copies keep their lines since that operator, which leaves one of them, needs to see them.
+A line stays in the text with the least doc_id, null ids first, among those that the near-duplicate
+operator would keep; only if there is none, among their copies.
+
 Null texts stay null and empty ones empty; a text that had words and loses them all goes.
-A line stays in the text with the least doc_id, null ids first.
 Repeated rows are one text: they keep and lose the same lines. Other columns are kept as
 they are, whatever their names; a column ``n_chars`` follows the text.
 """
@@ -10,75 +15,57 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.components import components
 from larder.llm.line_join import THRESHOLD, digest, lines, links
-from larder.llm.near_duplicates import _WORD as WORD
+from larder.llm.near_duplicates import classes_of
 from larder.llm.staging import removed, sent_if_small, staged
-from larder.llm.texts import Flat, chunked, mix, positions, windows
+from larder.llm.texts import chunked
 
 SPACE = b" \t\r\x0b\x0c"
-SKETCH, ALIKE, LEAST_WORDS = 16, 0.6, 5
-_PERMUTATIONS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
-
-
-def sketches(raw: list[bytes]) -> np.ndarray:
-    """Min-hashes of the 3-word windows of each text (0 for texts of fewer words)."""
-    words = Flat(raw).runs(WORD)
-    at = positions(words.doc_starts, words.per_doc, 3)
-    out = np.zeros((len(raw), SKETCH), np.uint64)
-    if len(at):
-        window, doc = windows(words.hashes(), 3)[at], words.doc[at]
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        for k, seed in enumerate(_PERMUTATIONS):
-            out[doc[first], k] = np.minimum.reduceat(mix(window ^ seed), first)
-    return out
+LEAST_WORDS = 5
 
 
 def held_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_link, sketch, links): each text's different lines of at least ``LEAST_WORDS`` words."""
+    """(doc_id, text_link, links): each text's different lines of at least ``LEAST_WORDS`` words."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in chunked(batches, "text"):
             own = [list({digest(x) for x in lines(t) if len(x.split()) >= LEAST_WORDS}) for t in raw]
-            edges = np.arange(len(raw) + 1, dtype=np.int32) * SKETCH
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([digest(t) for t in raw], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(edges), pa.array(sketches(raw).view(np.int64).ravel())), pa.array(own, pa.list_(pa.binary()))],
-                names=["doc_id", "text_link", "sketch", "links"])
+                [batch.column(0), pa.array([digest(t) for t in raw], pa.binary()), pa.array(own, pa.list_(pa.binary()))],
+                names=["doc_id", "text_link", "links"])
 
-    return source.mapInArrow(hold, f"doc_id {kind}, text_link binary, sketch array<long>, links array<binary>")
+    return source.mapInArrow(hold, f"doc_id {kind}, text_link binary, links array<binary>")
 
 
-def repeated_lines(held: DataFrame, nodes: DataFrame) -> DataFrame:
+def repeated_lines(held: DataFrame, nodes: DataFrame, copies: DataFrame) -> DataFrame:
     """(text_link, drop): the lines to drop from each text.
 
-    A class of near-equal lines is repeated if two or more different texts hold it that are not
-    copies of each other: the holders' sketches agree with the most frequent one's, place by
-    place, in less than ``ALIKE`` of the cases. Such a class stays in the first text.
-    Lines that only copies share are left to the near-duplicate operator, which needs them.
+    ``nodes`` has the classes of near-equal lines, ``copies`` those of near-duplicate texts. A class
+    of lines goes from every text that is not in the class of the text that keeps it.
     """
     texts = held.groupBy("text_link").agg(F.min("doc_id").alias("first_doc"))
+    texts = texts.join(copies.select(F.col("node").alias("text_link"), F.col("root").alias("class")), "text_link", "left")
+    texts = staged(texts, "held-texts")
+    heads = texts.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("first_doc", "text_link"))["text_link"].alias("text_link"))
+    texts = texts.join(heads.select("text_link", F.lit(True).alias("head")), "text_link", "left").select(
+        "text_link", "first_doc", F.coalesce("class", "text_link").alias("class"), (F.col("class").isNotNull() & F.col("head").isNull()).alias("copy"))
     one = held.dropDuplicates(["text_link"]).drop("doc_id")
-    flat = one.select("text_link", "sketch", F.explode("links").alias("link"))
+    flat = one.join(texts, "text_link").select("text_link", "first_doc", "class", "copy", F.explode("links").alias("link"))
     flat = flat.join(nodes, flat["link"] == nodes["node"], "left").withColumn("root", F.coalesce("root", "link")).drop("node")
-    flat = staged(flat.join(texts, "text_link"), "held-lines")
-    holders = flat.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("first_doc", "text_link"))["text_link"].alias("stays")).where("n > 1")
-    holders = staged(holders.withColumnRenamed("root", "of"), "holders")
-    many = flat.join(holders, flat["root"] == holders["of"])
-    places = many.select("root", "n", F.posexplode("sketch").alias("place", "value"))
-    modes = places.groupBy("root", "place", "value").agg(F.count("*").alias("same"), F.first("n").alias("n"))
-    modes = modes.groupBy("root", "place").agg(F.max("same").alias("same"), F.first("n").alias("n"))
-    foreign = modes.groupBy("root").agg(F.avg((F.col("same") - 1) / (F.col("n") - 1)).alias("alike")).where(F.col("alike") < ALIKE)
-    going = many.where(many["text_link"] != many["stays"]).join(foreign.select("root"), "root", "left_semi")
+    flat = staged(flat, "held-lines")
+    kept = flat.groupBy(F.col("root").alias("of")).agg(
+        F.min(F.struct("copy", "first_doc", "text_link", "class"))["class"].alias("stays"), F.min("class").alias("low"), F.max("class").alias("high"))
+    kept = staged(kept.where("low <> high").select("of", "stays"), "holders")
+    going = flat.join(kept, (flat["root"] == kept["of"]) & (flat["class"] != kept["stays"]))
     found = staged(going.groupBy("text_link").agg(F.collect_set("link").alias("drop")), "repeated-lines")
-    for done in (flat, holders):
+    for done in (flat, kept):
         removed(done)
     return found
 
@@ -88,11 +75,13 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 
     Documents that lose all their words go. A column ``n_chars`` follows the text.
     """
+    rows, copies = classes_of(docs, doc_id, text)
+    removed(rows)
     found = links(docs, text, threshold)
     nodes = staged(components(found), "line-classes")
     held = staged(held_lines(docs, doc_id, text), "text-lines")
-    drops = repeated_lines(held, nodes)
-    for done in (found, nodes, held):
+    drops = repeated_lines(held, nodes, copies)
+    for done in (copies, found, nodes, held):
         removed(done)
     key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     both = docs.withColumn("__text_link", key).join(sent_if_small(drops, weight="drop").select(F.col("text_link").alias("__drop_link"), F.col("drop").alias("__drop")),

@@ -176,6 +176,24 @@ class TestLineDedup:
         assert got[12].text == "only one line of words here" and got[13].text is None
         assert 14 not in got  # nothing but the passage
 
+    def test_holders_are_judged_one_by_one(self, rows):
+        """A passage that three near copies and one other text hold goes from the other text, though most holders are alike."""
+        draw = random.Random(21)
+        passage, twin, other = prose(draw, 30), prose(draw, 150), prose(draw, 150)
+        docs = [(i, f"{twin} {i}\n{passage}") for i in range(3)] + [(9, f"{passage}\n{prose(draw, 90)}")]
+        docs += [(20 + i, f"{other} {i}\n{passage}") for i in range(3)]
+        got = {r.doc_id: r.text for r in line_dedup.deduplicated(rows("doc_id long, text string", *docs)).collect()}
+        assert all(got[i] == docs[i][1] for i in range(3))
+        assert passage not in got[9] and not any(passage in got[20 + i] for i in range(3))
+
+    def test_stays_where_near_duplicates_leave_it(self, rows):
+        """A copy that is to go anyway doesn't keep the line for the others."""
+        draw = random.Random(22)
+        passage, twin = prose(draw, 20), prose(draw, 150)
+        docs = [(1, twin), (2, f"{twin}\n{passage}"), (3, f"{prose(draw, 90)}\n{passage}")]
+        got = {r.doc_id: r.text for r in line_dedup.deduplicated(rows("doc_id long, text string", *docs)).collect()}
+        assert passage in got[3] and passage not in got[2]
+
     def test_empty(self, rows):
         assert line_dedup.deduplicated(rows("doc_id long, text string", (1, "a")).limit(0)).count() == 0
 
