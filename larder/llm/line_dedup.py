@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.components import components
-from larder.llm.line_join import THRESHOLD, digest, lines, links
+from larder.llm.line_join import digest, lines, links
 from larder.llm.near_duplicates import classes_of
 from larder.llm.staging import removed, sent_if_small, staged
 from larder.llm.texts import chunked
 
 SPACE = b" \t\r\x0b\x0c"
-LEAST_WORDS = 5
+THRESHOLD, LEAST_WORDS = 3, 5
 
 
 def held_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -194,6 +194,13 @@ class TestLineDedup:
         got = {r.doc_id: r.text for r in line_dedup.deduplicated(rows("doc_id long, text string", *docs)).collect()}
         assert passage in got[3] and passage not in got[2]
 
+    def test_three_typos(self, rows):
+        draw = random.Random(23)
+        passage = prose(draw, 40)
+        docs = [(i, prose(draw, 80) + "\n" + typos(draw, passage, i)) for i in range(4)]
+        got = {r.doc_id: r.text for r in line_dedup.deduplicated(rows("doc_id long, text string", *docs)).collect()}
+        assert got[0] == docs[0][1] and all("\n" not in got[i] for i in (1, 2, 3))
+
     def test_empty(self, rows):
         assert line_dedup.deduplicated(rows("doc_id long, text string", (1, "a")).limit(0)).count() == 0
 
