@@ -8,9 +8,11 @@ its feature (a shrunken z-score of the log odds of texts with it), the others at
 feature never seen in training adds nothing, however long a text is.
 
 Training uses at most ``TRAIN_ROWS`` labelled rows of each class, chosen by a hash of the
-id; this bound keeps what the driver holds small. Each row's whole text is used. Scores are
-computed from the text alone; a threshold for each language is calibrated on the training
-rows and gives the ``toxic`` column, which is what the filter goes by.
+id; this bound keeps what the driver holds small. Each row's whole text is used. Where the bound
+cuts a class, the bias is moved back to the odds of the classes among all labelled rows. Scores are
+computed from the text alone. All labelled rows outside the held-out fold are scored on the
+executors and counted by language and score (``BINS`` of them); from these counts comes a threshold
+for each language, which gives the ``toxic`` column that the filter goes by.
 
 Null texts count as empty and get the score of a text without words. Labels without a
 document, or with a null, are ignored; without labels of both classes every score is the
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.staging import BROADCAST_ROWS
 from larder.llm.texts import Flat, chunked, mix
 
 TRAIN_ROWS = 3000
@@ -36,6 +39,7 @@ PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 WIDTHS, FILTERS = (1, 2, 3), 8
 EPOCHS, BATCH, RATE = 6, 64, 0.02
 CHUNK = 1 << 19
+BINS, LEAST_ROWS = 1000, 20
 _WORD = np.array([chr(b).isalnum() and b < 0x80 or b >= 0x80 or chr(b) == "'" for b in range(256)])
 _SEEDS = mix(np.arange(1, len(PREFIXES) + 2, dtype=np.uint64))
 
@@ -200,23 +204,28 @@ def _step(net: Network, feats: np.ndarray, counts: np.ndarray, toxic: np.ndarray
     net.embedding[number] -= (0.05 * total / np.sqrt(squared[number])[:, None]).astype(np.float32)
 
 
-def threshold(scores: np.ndarray, toxic: np.ndarray, least: int = 20) -> float:
-    """Where precision and recall balance best; 0.5 with fewer than ``least`` rows of a class."""
-    if min(toxic.sum(), len(toxic) - toxic.sum()) < least:
+def threshold(bins: np.ndarray, toxic: np.ndarray, rows: np.ndarray, least: int = LEAST_ROWS) -> float:
+    """Where precision and recall balance best, from the rows and toxic rows of each bin of scores; 0.5 with fewer
+    than ``least`` rows of a class."""
+    if min(toxic.sum(), rows.sum() - toxic.sum()) < least:
         return 0.5
-    order = np.argsort(-scores)
-    right = np.cumsum(toxic[order])
-    f1 = 2 * right / (np.arange(1, len(order) + 1) + toxic.sum())
+    order = np.argsort(-bins)
+    f1 = 2 * np.cumsum(toxic[order]) / (np.cumsum(rows[order]) + toxic.sum())
     best = int(np.argmax(f1))
-    below = scores[order[best + 1]] if best + 1 < len(order) else 0.0
-    return float(np.clip((scores[order[best]] + below) / 2, 0.1, 0.9))
+    below = bins[order[best + 1]] + 1 if best + 1 < len(order) else 0
+    return float(np.clip((bins[order[best]] + below) / 2 / BINS, 0.1, 0.9))
+
+
+def outside_held_out(labels: DataFrame) -> DataFrame:
+    """(label_id, toxic) of the labelled rows that training and calibration may see."""
+    named = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)")
+    return named.where(fold("label_id") != HELD_OUT).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
                   rows: int = TRAIN_ROWS):
     """At most ``rows`` labelled rows of each class outside the held-out fold: texts, labels, languages."""
-    named = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)")
-    named = named.where(fold("label_id") != HELD_OUT).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
+    named = outside_held_out(labels)
     chosen = [named.where(F.col("toxic") == k).orderBy(F.xxhash64("label_id"), "label_id").limit(rows) for k in (0, 1)]
     # At most 2 x rows pairs of an id and a label: a bounded side.
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))
@@ -236,12 +245,36 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     raw = [x.encode() for x in sample.column("text").to_pylist()]
     toxic = np.array(sample.column("toxic").to_pylist(), np.int64)
     net = trained(raw, toxic)
-    langs = np.array([x or "" for x in sample.column("lang").to_pylist()], object)
-    scores = np.concatenate([net.scores(raw[i:i + 200]) for i in range(0, len(raw), 200)]) if raw else np.zeros(0)
-    net.thresholds = {name: threshold(scores[langs == name], toxic[langs == name]) for name in sorted(set(langs))}
+    if not net.filters:
+        return net
+    named = outside_held_out(labels)
+    ids = docs.select(F.col(doc_id).alias("doc_id"))
+    n = dict(ids.join(named, ids["doc_id"] == named["label_id"]).groupBy("toxic").count().collect())
+    net.bias += float(np.log(n[1] / n[0]) - np.log(toxic.sum() / (len(toxic) - toxic.sum())))
+    net.thresholds = calibrated(docs, named, net, doc_id, text, lang)
     return net
 
 
+def calibrated(docs: DataFrame, named: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """The threshold of each language over all documents that ``named`` labels."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text"))
+    # Texts don't move: counted few, the labels go out and other texts aren't scored; else all are, and scores move.
+    if named.count() <= BROADCAST_ROWS:
+        source = source.join(F.broadcast(named.select("label_id")), F.col("doc_id") == F.col("label_id"), "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in chunked(batches, "text", CHUNK):
+            bins = np.minimum(shared.value.scores(raw) * BINS, BINS - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bins)], names=["doc_id", "lang", "bin"])
+
+    found = source.mapInArrow(binned, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang string, bin int")
+    counts = found.join(named, found["doc_id"] == named["label_id"]).groupBy("lang", "bin").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("rows"))
+    known = counts.groupBy("lang").agg(F.collect_list(F.struct("bin", "toxic", "rows")).alias("bins"), F.sum("toxic").alias("t"), F.sum("rows").alias("n"))
+    enough = known.where(F.least(F.col("t"), F.col("n") - F.col("t")) >= LEAST_ROWS)
+    return {r.lang: threshold(*np.array(r.bins, np.int64).T) for r in enough.select("lang", "bins").collect()}
+
+
 def scored(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, score, predicted, and toxic by the threshold of the language."""
     source = docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id) == HELD_OUT).alias("held_out"), F.col(lang).alias("lang"), F.col(text).alias("text"))

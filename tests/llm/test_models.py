@@ -1,6 +1,7 @@
 """Token counts, packing, toxicity and sharding on odd inputs and against the libraries or brute force."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -67,6 +68,11 @@ class TestPacking:
         assert packing.packed(docs.limit(0)).count() == 0
 
 
+def _sample(docs, labels, n):
+    found = toxicity.training_rows(docs, labels, rows=n)
+    return [x.encode() for x in found.column("text").to_pylist()], np.array(found.column("toxic").to_pylist())
+
+
 class TestToxicity:
     def test_held_out(self, spark):
         docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
@@ -86,6 +92,22 @@ class TestToxicity:
         assert {r.score for r in toxicity.scored(docs, empty).collect()} == {0.0}
         assert toxicity.scored(docs.limit(0), net).count() == 0
 
+    def test_whole_labels_decide(self, rows):
+        """The bound on training rows changes neither the odds of the classes nor what thresholds are set from."""
+        docs = [(i, f"vile rotten thing {i}" if i % 10 == 0 else f"nice calm day {i}", "fr" if i % 4 == 0 else "en") for i in range(800)]
+        table = rows("doc_id long, text string, lang string", *docs)
+        labels = rows("doc_id long, toxic int", *[(i, int(i % 10 == 0)) for i in range(800)])
+        net = toxicity.fitted(table, labels, rows=30)
+        assert set(net.thresholds) == {"fr", "en"}  # of either, 20 or more rows of each class only among all labels
+        even = toxicity.trained(*_sample(table, labels, 30))
+        share = np.mean([i % 10 == 0 for i in range(800) if zlib.crc32(str(i).encode()) % 5])
+        assert abs(net.bias - even.bias - np.log(share / (1 - share))) < 1e-6
+
+    def test_threshold_of_counts(self):
+        bins, toxic, n = np.array([0, 300, 700, 900]), np.array([0, 2, 30, 30]), np.array([500, 90, 31, 30])
+        assert toxicity.threshold(bins, toxic, n) == (700 + 301) / 2 / toxicity.BINS
+        assert toxicity.threshold(bins, toxic // 4, n) == 0.5
+
     def test_gradient_free_of_neighbours(self):
         """A text's score does not depend on the texts around it."""
         net = toxicity.trained([b"good day", b"vile words", b"nice words", b"vile thing"] * 10, np.array([0, 1, 0, 1] * 10))
