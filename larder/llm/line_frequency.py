@@ -108,14 +108,19 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     return source.mapInArrow(measure, schema)
 
 
-def frequent_lines(found: DataFrame, share: float = SHARE, least: int = LEAST_TEXTS) -> DataFrame:
-    """Per host an array of the hashes of its frequent lines."""
+def frequent_pairs(found: DataFrame, share: float = SHARE, least: int = LEAST_TEXTS) -> DataFrame:
+    """(host, hash) of the lines that are frequent in a host."""
     texts = found.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     # First by text, so that neither a host nor a line with a large part of all rows meets in one task.
     held = (found.select("host", "text_hash", F.explode("lines.hash").alias("hash")).distinct()
             .groupBy("host", "hash").agg(F.count("*").alias("held")))
     often = held.where(F.col("held") > least).join(texts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
-    return (often.where(F.col("held") > share * F.col("texts"))
+    return often.where(F.col("held") > share * F.col("texts")).select("host", "hash")
+
+
+def frequent_lines(found: DataFrame, share: float = SHARE, least: int = LEAST_TEXTS) -> DataFrame:
+    """Per host an array of the hashes of its frequent lines."""
+    return (frequent_pairs(found, share, least)
             .groupBy("host").agg(F.collect_list("hash").alias("frequent")).withColumnRenamed("host", "frequent_host"))
 
 
@@ -132,3 +137,42 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: st
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("removed_words"),
         failed.alias("base_failed")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= left * F.col("n_words")))
+
+
+def without_frequent(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", share: float = 0.0,
+                     least: int = LEAST_TEXTS, n_chars: str = "n_chars") -> DataFrame:
+    """The documents, all columns kept, without the lines that more than ``least`` texts of their host hold.
+
+    No share of the host's texts is asked for unless given, so a large host has no looser limit. Frequent lines
+    are joined by host and hash. A column ``n_chars`` follows the text.
+    """
+    found = staged(measures(docs, doc_id, text, host).select("host", "text_hash", "lines"), "measures")
+    often = frequent_pairs(found, share, least).select(F.col("host").alias("of"), F.col("hash").alias("often"))
+    flat = found.select("host", "text_hash", F.explode("lines.hash").alias("hash")).distinct()
+    met = flat.join(often, flat["host"].eqNullSafe(often["of"]) & (flat["hash"] == often["often"]), "left_semi")
+    drops = met.groupBy(F.col("host").alias("__host"), F.col("text_hash").alias("__hash")).agg(F.collect_set("hash").alias("__drop"))
+    drops = staged(drops, "frequent-lines")
+    names = docs.columns
+    both = docs.join(drops, (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == drops["__hash"])
+                     & docs[host].cast("string").eqNullSafe(drops["__host"]), "left").select(*(docs[c] for c in names), "__drop")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in chunked(batches, text):
+            drop = batch.column(len(names)).to_pylist()
+            cut = [_without(x, set(d)) if d else x for x, d in zip(raw, drop, strict=True)]
+            columns = []
+            for name, column in zip(names, batch.columns, strict=False):
+                if name == text:
+                    column = pa.array([y if known else None for y, known in zip(cut, column.is_valid().to_pylist(), strict=True)], pa.binary()).cast(column.type)
+                elif name == n_chars:
+                    column = pa.array([old if x == y else len(y.decode()) for old, x, y in zip(column.to_pylist(), raw, cut, strict=True)], column.type)
+                columns.append(column)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return both.mapInArrow(clean, docs.schema)
+
+
+def _without(raw: bytes, drop: set[int]) -> bytes:
+    """The text without the lines of those normalised hashes."""
+    folded = iter(measured([raw])[3].view(np.int64).tolist())
+    return b"\n".join([line for line in raw.split(b"\n") if not line.split() or next(folded) not in drop])

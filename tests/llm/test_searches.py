@@ -104,6 +104,17 @@ class TestLineFrequency:
         assert all(got[100 + i].kept for i in range(30))
 
 
+    def test_lines_above_an_absolute_limit_go(self, rows):
+        """A line in 7 of 100 texts of a host is far below a fifth of them; it goes, but stays in a host with 5 such texts."""
+        docs = [(i, f"own {chr(97 + i // 10)}{chr(97 + i % 10)}\n\n Call  US {i}\nend", "h", 9) if i < 7 else (i, f"own {chr(97 + i // 10)}{chr(97 + i % 10)}", "h", 5) for i in range(100)]
+        docs += [(200 + i, f"{chr(97 + i)}\ncall us 1", "g", 1) for i in range(5)] + [(300, None, None, None)]
+        table = rows("doc_id long, text string, source string, n_chars long", *docs)
+        assert {r.removed_words for r in line_frequency.judged(table).collect()} == {0}
+        got = {r.doc_id: r for r in line_frequency.without_frequent(table).collect()}
+        assert [got[i].text for i in range(7)] == [f"own a{chr(97 + i)}\n" for i in range(7)] and got[0].n_chars == 7
+        assert all((got[i].text, got[i].n_chars) == (t, n) for i, t, _, n in docs[7:])
+
+
 class TestMainText:
     PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li>Home</li></ul></nav>
 <!-- x --><div class="ad">Buy <b>now</b></div><article><h1>Short &amp; sweet</h1><p><b>One<br>two&nbsp;three<p>four
