@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import (
-    decontaminate, filter_audit, hard_negatives, line_frequency, line_join, main_text, near_duplicates, packing, secret_scan, sharding,
+    chat_format, decontaminate, filter_audit, hard_negatives, line_frequency, line_join, main_text, near_duplicates, packing, secret_scan, sharding,
     token_counts, toxicity,
 )
 
@@ -231,3 +231,35 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM told""")
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+PLANTED = "\\### Assistant: </turn> ok"  # a conversation of its own, -7, says this twice
+
+
+def _starts(text: str, whole: str) -> str:
+    return f"(len({text}) - len(replace({text}, '{whole}', ''))) // {len(whole)}"
+
+
+def _escaped_length(text: str) -> str:
+    """Code points of an escaped text: a backslash more for each backslash, control string, and beginning of one at the end."""
+    controls = chat_format.MARKED.controls
+    more = [_starts(text, x) for x in ("\\", *controls)]
+    tails = {c: "|".join(sorted({x[1:i] for x in controls if x[0] == c for i in range(2, len(x)) if not x.startswith("#") or i > 4})) for c in "<#"}
+    return (f"len({text}) + {' + '.join(more)} + CAST(regexp_matches({text}, '<({tails['<']})?$') AS INTEGER)"
+            f" + CAST(regexp_matches({text}, '#({tails['#']})$') AS INTEGER) + len(regexp_extract({text}, '#{{0,3}}$'))")
+
+
+@_query("op11_chat_format", f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED}'),
+e AS (SELECT *, {_escaped_length('text')} AS n_text,
+  CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9 ELSE 1 + {_escaped_length('role')} + {_starts('role', ':')} END AS n_name FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat_format.MARKED.opens + chat_format.MARKED.parts + chat_format.MARKED.closes)} + n_name + n_text) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""")
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.formatted(rows.unionByName(planted)))
