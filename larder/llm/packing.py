@@ -13,6 +13,7 @@ Repeated rows are packed as often as they occur.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import unicodedata
@@ -32,7 +33,8 @@ from larder.llm.texts import chunked
 SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
-KEPT_WORDS = 120_000
+KEPT_WORDS = 300_000
+TOGETHER = 500  # words given to the library at a time
 
 
 def default_vocabulary() -> str:
@@ -40,25 +42,33 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Little-endian 32-bit ids of each word, words not seen before given to the library all at once.
+class WordIds:
+    """Ids of each word, words not seen before given to the library all at once.
 
     The vocabulary splits a text into words by a pattern before any merging, so a word's ids
-    do not depend on its neighbours. Two tables of bounded size keep the frequent words.
+    do not depend on its neighbours. The table is one dictionary of places and one flat array of
+    ids, of at most ``kept`` words beside those of the chunk at hand; when it is full, the half used most stays.
     """
 
     def __init__(self, path: str, kept: int):
         from tokenizers import Tokenizer
-        self.library, self.kept, self.older = Tokenizer.from_file(path), kept, {}
+        self.library, self.kept = Tokenizer.from_file(path), kept
         self.words = word_level_words()
         with open(path, encoding="utf-8") as file:
             added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
-        self.added = {text: np.array([number], "<u4").tobytes() for text, number in added.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
-
-    def parts(self, text: str) -> list:
-        """Words of each stretch between added tokens, and the ids of those tokens."""
-        return [self.added[part] if i % 2 else self.words(self.normal(part)) for i, part in enumerate(self.split(text))]
+        # Words hold no space: with one in front the added tokens have places of their own, which are never given up.
+        self.added = len(added)
+        self.place = {" " + text: i for i, text in enumerate(added)}
+        self.flat, self.stops = np.array(list(added.values()), "<u4"), np.arange(1, self.added + 1)
+        self.uses = np.zeros(self.added, np.int32)
+
+    def parts(self, text: str) -> list[str]:
+        """Words of each stretch between added tokens, and those tokens."""
+        pieces = self.split(text)
+        if len(pieces) == 1:
+            return self.words(self.normal(text))
+        return [word for i, part in enumerate(pieces) for word in ([" " + part] if i % 2 else self.words(self.normal(part)))]
 
     @staticmethod
     def normal(text: str) -> str:
@@ -67,33 +77,62 @@ class WordIds(dict):
         # Character by character a capital sigma has one lower case, wherever it stands.
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > self.kept:
-            self.older = dict(self)
-            self.clear()
-        new = []
-        for word in words.difference(self):
-            ids = self.older.get(word)
-            if ids is None:
-                new.append(word)
-            else:
-                self[word] = ids
-        if not new:
-            return
-        encoding = self.library.encode(" ".join(new), add_special_tokens=False)
-        ids, of = np.array(encoding.ids, "<u4"), np.array(encoding.word_ids, np.int64)
-        edges = np.searchsorted(of, np.arange(len(new) + 1))
-        if int(of[-1]) != len(new) - 1:
-            raise ValueError("the vocabulary splits text otherwise than by its words")
-        packed = ids.tobytes()
-        for word, a, b in zip(new, (edges[:-1] * 4).tolist(), (edges[1:] * 4).tolist(), strict=True):
-            self[word] = packed[a:b]
+    def places(self, words: list[str]) -> np.ndarray:
+        """Each word's place in the table, unknown words learnt."""
+        known = self.place.get
+        at = np.fromiter(map(known, words, itertools.repeat(-1)), np.int32, len(words))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return at
+        new = list(dict.fromkeys(words[i] for i in missing.tolist()))
+        if len(self.place) + len(new) > self.kept and len(self.place) > self.added:
+            self.shrink()
+            return self.places(words)
+        self.learn(new)
+        at[missing] = np.fromiter((known(words[i]) for i in missing.tolist()), np.int32, len(missing))
+        return at
+
+    def shrink(self) -> None:
+        """Half as many words as may be kept, the most used ones, and of the others none if they were used just once."""
+        often = self.uses.copy()
+        often[:self.added] = np.iinfo(np.int32).max
+        least = max(2, int(np.sort(often)[-max(self.kept // 2, self.added):][0]))
+        stay = np.flatnonzero(often >= least)[:max(self.kept // 2, self.added)]
+        words = list(self.place)
+        self.flat, lengths = self.gathered(stay)
+        self.place = {words[i]: k for k, i in enumerate(stay.tolist())}
+        self.stops, self.uses = np.cumsum(lengths), np.zeros(len(stay), np.int32)
+
+    def learn(self, new: list[str]) -> None:
+        ids, stops, size = [self.flat], [self.stops], len(self.flat)
+        for i in range(0, len(new), TOGETHER):
+            some = new[i:i + TOGETHER]
+            encoding = self.library.encode(" ".join(some), add_special_tokens=False)
+            of = np.array(encoding.word_ids, np.int64)
+            if int(of[-1]) != len(some) - 1:
+                raise ValueError("the vocabulary splits text otherwise than by its words")
+            ids.append(np.array(encoding.ids, "<u4"))
+            stops.append(size + np.searchsorted(of, np.arange(1, len(some) + 1)))
+            size += len(of)
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.flat, self.stops = np.concatenate(ids), np.concatenate(stops)
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+
+    def gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places, one after another, and how many each has."""
+        starts = np.concatenate([[0], self.stops[:-1]])[at]
+        lengths = self.stops[at] - starts
+        before = np.cumsum(lengths) - lengths
+        return self.flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))], lengths
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
         split = [self.parts(text) for text in texts]
-        self.learn({word for parts in split for part in parts if isinstance(part, list) for word in part})
-        get = self.__getitem__
-        return [b"".join(part if isinstance(part, bytes) else b"".join(map(get, part)) for part in parts) for parts in split]
+        at = self.places(list(itertools.chain.from_iterable(split)))
+        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
+        found, lengths = self.gathered(at)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, split)])].tolist()
+        return [found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
