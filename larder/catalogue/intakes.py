@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from larder import params
@@ -18,7 +20,7 @@ from larder.functions.stats import PHI_DENOMINATOR, PHI_LIMIT, PHI_NUMERATOR, PH
 from larder.operators import checks, indicators, regions
 from larder.operators.intake import apparent_intake, base_model
 from larder.operators.ordering import ntile_exact
-from larder.operators.survey import SurveyDesign, gap, interaction, long, quintile_label
+from larder.operators.survey import LONELY, SurveyDesign, gap, interaction, long, quintile_label
 from larder.plans.reports import mpi_report, national_report, region_report
 from larder.sources.adapters import DROP_REGIONS, ISO3, RESPELL, SURVEY
 from larder.sources.staging import stage
@@ -392,6 +394,57 @@ def mpi_strata_ci(t):
     return rounded(estimates.crossJoin(F.broadcast(size)).select("res", "mpi", "mpi_se", (F.col("n") - F.col("strata")).alias("df")), 8, "mpi_se")
 
 
+UNIT = "CAST(floor(hhid / 50) AS BIGINT)"  # an enumeration area: households with neighbouring numbers
+
+
+def s_units(domain: str, stratum: str, unit: str = UNIT) -> str:
+    """CTEs d, m, z and h: rows, means by domain, linearised totals of every unit for every domain, strata's parts."""
+    return f"""
+    WITH d AS (SELECT *, {domain} AS domain, {stratum} AS stratum, {unit} AS unit FROM ({MPI_SOURCE})),
+    m AS (SELECT domain, {s_wmean("mpi")} AS m, sum({W}) AS sw FROM d GROUP BY domain),
+    z AS (SELECT m.domain, d.stratum, d.unit, any_value(m.m) AS m, sum(CASE WHEN d.domain = m.domain THEN {W} * (d.mpi - m.m) / m.sw ELSE 0e0 END) AS z,
+                 bool_or(d.domain = m.domain) AS own FROM d CROSS JOIN m GROUP BY m.domain, d.stratum, d.unit),
+    h AS (SELECT domain, stratum, any_value(m) AS m, count(*) AS n, bool_or(own) AS own, sum(z * z) AS zz,
+                 count(*) / nullif(count(*) - 1e0, 0) * (sum(z * z) - sum(z) * sum(z) / count(*)) AS part FROM z GROUP BY domain, stratum)"""
+
+
+def _mpi_units(t, stratum):
+    """The scores' design with households' enumeration areas as units."""
+    rows = stage(_mpi_design(t).complete(["mpi"]).df.select("hhid", W, "mpi", "adm1", "res"))
+    rows = rows.withColumns({"stratum": stratum, "unit": F.floor(F.col("hhid") / 50)})
+    return SurveyDesign(rows, W, "stratum", ids="unit")
+
+
+@query("mpi_cluster_ci", "described quintiles", f"""{s_units("res", "adm1")}
+    SELECT domain AS res, round_even(any_value(m), 3) AS mpi, CASE WHEN count(*) = count(CASE WHEN own THEN part ELSE 0 END)
+           THEN round(sqrt(sum(CASE WHEN own THEN part ELSE 0 END)), 8) END AS mpi_se, CAST(sum(n) - count(*) AS BIGINT) AS df FROM h GROUP BY domain""")
+def mpi_cluster_ci(t):
+    """Mean scores by residence with errors from enumeration areas within regions; both residences live in an area."""
+    design = _mpi_units(t, F.col("adm1"))
+    estimates = design.mean_ci("mpi", ["res"], digits=3)
+    units = design.check().select((F.col("n_units")).alias("n"))
+    strata = design.df.select("stratum").distinct().agg(F.count("*").alias("strata"))
+    size = units.crossJoin(strata)  # one row each
+    return rounded(estimates.crossJoin(F.broadcast(size)).select("res", "mpi", "mpi_se", (F.col("n") - F.col("strata")).alias("df")), 8, "mpi_se")
+
+
+@query("mpi_cluster_lonely", "described quintiles", f"""{s_units("1", "adm1 || '.' || res", UNIT.replace("50", "1400"))}
+    SELECT rule, round_even(any_value(m), 3) AS mpi, CAST(count(*) FILTER (n = 1) AS BIGINT) AS lonely_strata,
+           CASE WHEN count(part_) = count(*) THEN round(sqrt(sum(part_)), 8) END AS mpi_se
+    FROM (SELECT *, CASE WHEN n > 1 THEN part WHEN rule = 'certainty' THEN 0 WHEN rule = 'adjust' THEN zz END AS part_
+          FROM h CROSS JOIN (SELECT unnest(['missing', 'certainty', 'adjust']) AS rule)) GROUP BY rule""")
+def mpi_cluster_lonely(t):
+    """The national error under each rule for strata that have a single area."""
+    design = _mpi_units(t, interaction("adm1", "res"))
+    design = replace(design, df=stage(design.df.withColumn("unit", F.floor(F.col("hhid") / 1400))))
+    lonely = design.check().select("lonely_strata")
+    found = None
+    for rule in LONELY:
+        one = design.mean_ci("mpi", digits=3, lonely=rule).crossJoin(F.broadcast(lonely)).select(F.lit(rule).alias("rule"), "mpi", "lonely_strata", "mpi_se")
+        found = one if found is None else found.unionByName(one)
+    return rounded(found, 8, "mpi_se")
+
+
 @query("mpi_gradient", "described quintiles", f"""
     WITH d AS ({MPI_SOURCE})
     SELECT CAST(sep_quintile AS INTEGER) AS sep_quintile, res, round({s_wmean("mpi")}, 6) AS mean_mpi FROM d GROUP BY sep_quintile, res

@@ -148,3 +148,105 @@ class TestIron:
         assert lenient == {"a": 25.0, "b": 100.0}
         assert dict(indicators.fe_prevalence(df, "w", ["g"], strict=True).collect()) == {"a": 25.0, "b": None}
         assert dict(indicators.fe_prevalence(df, None, ["g"]).collect())["a"] == 50.0
+
+
+def clustered(data, domain=None, strata=True, lonely="missing"):
+    """Mean and error of rows (group, stratum, unit, weight, value) by the plain two-pass formula over units' totals."""
+    mine = [(w, x) for d, _, _, w, x in data if x is not None and domain in (None, d)]
+    sw = sum(w for w, _ in mine)
+    m = sum(w * x for w, x in mine) / sw
+    totals: dict = {}
+    for d, h, u, w, x in data:
+        z = w * (x - m) / sw if x is not None and domain in (None, d) else 0.0
+        units = totals.setdefault(h if strata else 0, {})
+        units[u] = units.get(u, 0.0) + z
+    parts = []
+    for units in totals.values():
+        n, z = len(units), list(units.values())
+        if n > 1:
+            parts.append(n / (n - 1) * sum((t - sum(z) / n) ** 2 for t in z))
+        elif any(z):
+            parts.append({"missing": math.nan, "certainty": 0.0, "adjust": z[0] ** 2}[lonely])
+    return m, math.sqrt(sum(parts)), sum(map(len, totals.values())) - len(totals)
+
+
+class TestClusters:
+    DATA = [(d, h, i % (4 + len(h) % 3), w, x) for i, d, h, w, x in DATA]
+    SCHEMA = "d string, h string, u int, w double, x double"
+
+    def test_against_two_passes(self, rows):
+        df = rows(self.SCHEMA, *self.DATA)
+        m, se, degrees = clustered(self.DATA)
+        got = SurveyDesign(df, "w", "h", ids="u").mean_ci("x").first()
+        assert (got.x, got.x_se) == pytest.approx((m, se))
+        z, t = 1.959963984540054, (got.x_upp - got.x) / got.x_se
+        assert t > z and t == pytest.approx((SurveyDesign(df, "w").mean_ci("x", degrees=degrees).first().x_upp - m) / direct(DATA)[1], rel=1e-6)
+        without = SurveyDesign(df.withColumn("u", F.concat("h", "u")), "w", ids="u").mean_ci("x").first()
+        assert without.x_se == pytest.approx(clustered([(d, h, h + str(u), w, x) for d, h, u, w, x in self.DATA], strata=False)[1])
+
+    def test_domains_cross_units(self, rows):
+        """A unit with rows in two domains is one unit of the design, and one without rows in a domain counts there as zero."""
+        data = [*self.DATA, *[("a", "s1", 90 + i, 2.0, 0.5 + i / 9) for i in range(3)]]
+        got = {r.d: r for r in SurveyDesign(rows(self.SCHEMA, *data), "w", "h", ids="u").mean_ci("x", ["d"]).collect()}
+        for d in "ab":
+            m, se, _ = clustered(data, d)
+            assert (got[d].x, got[d].x_se) == pytest.approx((m, se))
+
+    def test_one_unit_per_row_is_the_plain_design(self, table):
+        for by in ([], ["d"]):
+            plain = SurveyDesign(table, "w", "h").mean_ci("x", by).orderBy(*by or ["x"]).collect()
+            units = SurveyDesign(table, "w", "h", ids="id").mean_ci("x", by).orderBy(*by or ["x"]).collect()
+            for a, b in zip(plain, units, strict=True):
+                assert [v for v in a if not isinstance(v, str)] == pytest.approx([v for v in b if not isinstance(v, str)])
+
+    def test_missing_values(self, rows):
+        """Units whose rows have no values stay in the design as zeros, or are left out."""
+        data = [*self.DATA, *[("a", "s1", 50 + i, 1.0, None) for i in range(4)]]
+        df = rows(self.SCHEMA, *data)
+        assert SurveyDesign(df, "w", "h", ids="u").mean_ci("x").first().x_se == pytest.approx(clustered(data)[1])
+        known = [r for r in data if r[-1] is not None]
+        assert SurveyDesign(df, "w", "h", ids="u").mean_ci("x", missing_counts=False).first().x_se == pytest.approx(clustered(known)[1])
+
+    @pytest.mark.parametrize("lonely", ["missing", "certainty", "adjust"])
+    def test_lonely_units(self, rows, lonely):
+        data = [*self.DATA, *[("a", "alone", 7, 1.5, 0.9), ("b", "alone", 7, 2.5, 0.1)]]
+        got = SurveyDesign(rows(self.SCHEMA, *data), "w", "h", ids="u").mean_ci("x", lonely=lonely).first()
+        if lonely == "missing":
+            assert got.x_se is None and got.x_low is None and got.x is not None
+        else:
+            assert got.x_se == pytest.approx(clustered(data, lonely=lonely)[1])
+        with pytest.raises(ValueError):
+            SurveyDesign(rows(self.SCHEMA, *data), "w").mean_ci("x", lonely="remove")
+
+    def test_constant_has_no_error(self, rows):
+        df = rows(self.SCHEMA, *[(d, h, u, w, 0.3) for d, h, u, w, _ in self.DATA])
+        assert SurveyDesign(df, "w", "h", ids="u").mean_ci("x").first().x_se == 0
+
+    def test_unknown_units(self, rows):
+        df = rows(self.SCHEMA, *self.DATA, ("a", "s1", None, 1.0, 0.5))
+        with pytest.raises(Exception, match="rows without a unit in u"):
+            SurveyDesign(df, "w", "h", ids="u").mean_ci("x").collect()
+        got = SurveyDesign(df, "w", "h", on_null="drop", ids="u").mean_ci("x").first()
+        assert got.x_se == pytest.approx(clustered(self.DATA)[1])
+        with pytest.raises(ValueError):
+            SurveyDesign(df, "w", ids="ea")
+
+    def test_check(self, rows):
+        df = rows(self.SCHEMA, *self.DATA, ("a", "alone", 1, 1.0, 0.5), ("a", "s1", None, 1.0, 0.5), ("a", "s2", 1, None, None))
+        got = SurveyDesign(df, "w", "h", ids="u").check().first()
+        units = {(h, u) for _, h, u, _, _ in self.DATA}
+        assert (got.n_rows, got.null_weights, got.null_ids, got.n_units, got.lonely_strata) == (403, 1, 1, len(units) + 1, 1)
+
+    def test_hot_unit_is_summed_before_it_moves(self, spark):
+        """The units' totals are one scan, summed in each task first."""
+        df = spark.range(100_000).selectExpr("IF(id < 90000, 0, id % 50) AS u", "id % 4 AS h", "1D + id % 3 AS w", "CAST(id % 7 AS DOUBLE) AS x")
+        design = SurveyDesign(df, "w", "h", ids="u")
+        rows = df.select("h", F.col("u").alias("_unit"), F.col("x").alias("_x"), (F.col("w") * F.col("x")).alias("_wx"), F.col("w").alias("_w"),
+                         F.lit(True).alias("_weighed"), F.lit(False).alias("_unweighed"))
+        plan = design._units(rows, [], ["h"], F.count_if("_weighed"))._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("Exchange hashpartitioning"):]
+        assert plan.count("Exchange") == 1 and "HashAggregate(keys=[h" in below and "partial_sum" in below
+        got = design.mean_ci("x")
+        assert "Range" not in got._jdf.queryExecution().executedPlan().toString()
+        data = [(None, i % 4, 0 if i < 90_000 else i % 50, 1.0 + i % 3, float(i % 7)) for i in range(100_000)]
+        assert got.first().x_se == pytest.approx(clustered(data)[1])
