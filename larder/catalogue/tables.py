@@ -9,6 +9,7 @@ from larder.catalogue import query, rounded
 from larder.operators.intake import apparent_intake, base_model
 from larder.sources import schemas
 from larder.sources.adapters import ISO3, SURVEY
+from larder.sources.labelled import read_labelled, value_labels, write_labelled
 from larder.sources.staging import stage_path
 from larder.sources.tables import decode_with, labels_dim, read_survey, read_table, write_table
 
@@ -53,6 +54,41 @@ def decode_labels(t):
     return decode_with(t.persons().select("adm1"), "adm1", labels).groupBy("adm1").agg(F.count("*").alias("n_people"))
 
 
+SEXES, RESIDENCES = {1: "Male", 2: "Female"}, {1: "Rural", 2: "Urban"}
+
+
+def _labelled_roster(t):
+    """The roster as a folder of labelled files, unknown ages missing."""
+    people = t.persons().withColumns({
+        "age": F.when(F.col("age") >= 0, F.col("age")), "interviewed": F.make_date("year", "month", F.lit(1)),
+        "weight": F.when(F.col("roster_id") % 13 != 0, F.col("survey_wgt"))})
+    rows = people.select("hhid", "interview_id", "roster_id", "adm1", "sex", "res", "age", "interviewed", "weight")
+    return write_labelled(rows, stage_path(t.spark, "roster"), {"adm1": params.REGION_LABELS, "sex": SEXES, "res": RESIDENCES})
+
+
+@query("labelled_roster", "persons", """
+    SELECT CAST(hhid AS INTEGER) AS hhid, CAST(interview_id AS VARCHAR) AS interview_id, CAST(roster_id AS INTEGER) AS roster_id, adm1, sex,
+           CASE WHEN age >= 0 THEN age END AS age, make_date(CAST(year AS BIGINT), CAST(month AS BIGINT), 1) AS interviewed,
+           CASE WHEN roster_id % 13 <> 0 THEN round(survey_wgt, 6) END AS weight FROM persons""")
+def labelled_roster(t):
+    """The roster written as labelled files and read again, all types and missing values."""
+    return rounded(read_labelled(t.spark, _labelled_roster(t)).drop("res"))
+
+
+@query("labelled_regions", "persons region_labels", """
+    SELECT l.label AS adm1, CASE p.sex WHEN 1 THEN 'Male' WHEN 2 THEN 'Female' END AS sex, count(*) AS n_people
+    FROM persons p LEFT JOIN region_labels l ON p.adm1 = l.code GROUP BY ALL""")
+def labelled_regions(t):
+    """Two columns of the labelled roster, decoded by the labels in the file."""
+    path = _labelled_roster(t)
+    meaning = value_labels(path)
+    coded = read_labelled(t.spark, path, ["adm1", "sex"])
+    counted = coded.groupBy("adm1", "sex").agg(F.count("*").alias("n_people"))
+    for column in ("adm1", "sex"):
+        counted = decode_with(counted, column, labels_dim(t.spark, meaning[column]))
+    return counted
+
+
 @query("ear_table", "intake", """
     SELECT e.nutrient, e.ear_value, count(u.intake) AS n_households,
            CAST(count(*) FILTER (WHERE u.intake < e.ear_value) AS BIGINT) AS n_below, round(avg(u.intake), 4) AS mean_intake

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from larder import params
 from larder.functions.missing import drop_nan
 from larder.operators.joins import once_per_key
 from larder.sources import schemas
+from larder.sources.labelled import read_labelled
 
 MISSING = "NA"
 
@@ -29,13 +30,16 @@ class Survey:
         return Survey(self.hh, self.food, fct)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV or Parquet table with the given schema; ``NA`` cells and NaN become NULL.
+def read_table(spark: SparkSession, path: str, schema: T.StructType, names: Mapping[str, str] | None = None) -> DataFrame:
+    """A CSV, labelled (``.dta``) or Parquet table with the given schema; ``NA`` cells and NaN become NULL.
 
-    A CSV is matched to the schema by its header, so column order and extra columns
-    do not matter.
+    A CSV or labelled file is matched to the schema by its header, so column order and extra columns
+    do not matter. ``names`` says what a labelled file calls a column, where it has a name of its own.
     """
-    if path.rstrip("/").endswith(".csv"):
+    if path.rstrip("/").lower().endswith(".dta"):
+        coded = read_labelled(spark, path, {f.name: (names or {}).get(f.name, f.name) for f in schema})
+        df = coded.select(*[_as(coded, f).alias(f.name) for f in schema])
+    elif path.rstrip("/").endswith(".csv"):
         named = spark.read.option("header", True).option("nullValue", MISSING).csv(path)
         absent = [f.name for f in schema if f.name not in named.columns]
         if absent:
@@ -51,6 +55,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
                        else F.col(f.name) for f in schema])
 
 
+def _as(df: DataFrame, field: T.StructField) -> Column:
+    """A labelled file's column in the schema's type; a code kept as a floating-point number is written without a fraction."""
+    column = F.col(field.name)
+    if isinstance(field.dataType, T.StringType) and isinstance(df.schema[field.name].dataType, T.DoubleType):
+        return F.when(column == F.floor(column), F.floor(column).cast("string")).otherwise(column.cast("string"))
+    return column.cast(field.dataType)
+
+
 def read_survey(spark: SparkSession, name: str, path: str, nutrients: Sequence[str] = tuple(params.NUTRIENTS),
                 fmt: str = "csv") -> Survey:
     """The tables ``<name>_hh_information``, ``_food_consumption`` and ``_fct`` under ``path``."""
