@@ -76,14 +76,15 @@ def impute_median(df: DataFrame, key: str = "item_code", col: str = "quantity_g"
                   tie: Sequence[str] = ("hhid",)) -> DataFrame:
     """Fill missing values with the exact median of the key's known values.
 
-    Medians are taken only for keys that need one. Each is bracketed and then found by rank
-    among the few rows in its bracket, so neither are all rows moved nor is a key that holds
-    much of the table gathered in one task; ``tie`` only spreads rows of one key and value,
-    and need not be unique. ``df`` is read several times: stage it first.
+    One aggregate says which keys have a gap and something to fill it with, and how many values
+    that is; medians are taken only for those. Keys of few values are ranked in
+    one shuffle; a key that holds much of the table is bracketed and never gathered (``quantiles_exact``).
+    ``tie`` only spreads rows of one key and value, and need not be unique. ``df`` is read several times:
+    stage it first.
     """
-    gaps = df.filter(F.col(col).isNull()).select(key).distinct()
-    needed = na_join(df, gaps, key, "left_semi")
-    medians = quantiles_exact(needed.select(key, col, *tie), col, [0.5], tie, by=[key], names=["_median"])
+    counts = df.groupBy(key).agg(F.count(col).alias("_group_rows"), F.count_if(F.col(col).isNull()).alias("_gaps"))
+    sizes = stage(counts.filter((F.col("_gaps") > 0) & (F.col("_group_rows") > 0)).select(key, "_group_rows"))
+    medians = quantiles_exact(df.select(*dict.fromkeys([key, col, *tie])), col, [0.5], tie, by=[key], names=["_median"], sizes=sizes)
     joined = na_join(df, medians, key)
     return joined.withColumn(col, F.coalesce(F.col(col), F.col("_median"))).drop("_median")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import ordering
 from larder.operators.joins import SOLID_KEY, na_join, original_key, with_solid_key
+from larder.sources.staging import stage
 
 
 def got(df):
@@ -69,6 +70,23 @@ class TestOrdering:
         for g in mine:
             assert mine[g] == pytest.approx(theirs[g])
 
+    @pytest.mark.parametrize("few", [1, 40, 2000])
+    def test_quantiles_of_small_and_large_groups(self, spark, few):
+        """Whichever way a group takes by its size, and the rows in its brackets by theirs, quantiles are the same."""
+        df = spark.range(6000).select("id", (F.abs(F.hash("id")) % 900).cast("double").alias("v"),
+                                      F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("g"))
+        at = (0.0, 0.25, 0.5, 0.9, 1.0)
+        got_ = {r.g: r[1:] for r in ordering.quantiles_exact(df, "v", at, ["id"], ["g"], few=few).collect()}
+        want = {r.g: tuple(r[1]) for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(x) for x in at]))).collect()}
+        assert got_.keys() == want.keys() and all(got_[g] == pytest.approx(want[g]) for g in want)
+        whole = tuple(ordering.quantiles_exact(df, "v", at, ["id"], few=few).first())
+        assert whole == pytest.approx(tuple(df.agg(F.percentile("v", F.array(*[F.lit(x) for x in at]))).first()[0]))
+
+    def test_small_groups_need_no_range_shuffle(self, spark):
+        df = stage(spark.range(4000).select("id", (F.col("id") * 7 % 90).cast("double").alias("v"), (F.col("id") % 500).alias("g")))
+        plan = ordering.quantiles_exact(df, "v", [0.5], ["id"], ["g"])._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "percentile" not in plan and plan.count("Exchange hashpartitioning") == 1
+
     def test_median_of_missing_only(self, rows):
         df = rows("id int, v double, g string", (1, None, "a"), (2, 4.0, "b"))
         assert got(ordering.quantiles_exact(df, "v", [0.5], ["id"], ["g"])) == [("b", 4.0)]
