@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.catalogue import query, rounded
-from larder.operators import cleaning
+from larder.operators import cleaning, sketches
 from larder.sources.adapters import EXCLUDED_ITEMS, ISO3, SURVEY
 from larder.sources.staging import stage
 
@@ -95,6 +95,16 @@ def impute_median(t):
     return rounded(filled.select("interview_id", "hhid", "item_code", "quantity_g"))
 
 
+@query("sketch_medians", "scaled", """
+    SELECT item_code, count(quantity_g) AS n, round(quantile_disc(quantity_g, 0.5), 6) AS median, round(quantile_disc(quantity_g, 0.9), 6) AS p90
+    FROM scaled WHERE quantity_g IS NOT NULL GROUP BY item_code""")
+def sketch_medians(t):
+    """Quantiles of items from the stored sketches of two diary rounds; no item here has more values than a sketch keeps."""
+    scaled = stage(_scaled(t).select("interview_id", "item_code", "quantity_g"))
+    rounds = [stage(sketches.sketched(scaled.filter(F.crc32(F.col("interview_id").cast("string")) % 2 == r))) for r in (0, 1)]
+    return rounded(sketches.quantiles(sketches.merged(*rounds), [0.5, 0.9], ["median", "p90"]))
+
+
 @query("clean_consumption", "filled", f"""
     SELECT '{ISO3}' AS iso3, '{SURVEY}' AS survey, hhid, item_code, round(f3 * afe, 6) AS quantity_g,
            round(f3 * afe / 100, 6) AS quantity_100g FROM filled""")
