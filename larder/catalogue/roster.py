@@ -140,9 +140,33 @@ def household_table(t):
     FROM sized s, (SELECT regr_slope(afe, hh_size) AS slope, corr(afe, hh_size) AS corr FROM sized) f
     GROUP BY s.hh_size""")
 def afe_vs_size(t):
+    return rounded(checks.mean_by(_sized(t), "afe", "hh_size"))
+
+
+def _sized(t):
     sized = afe.with_person_afe(_people(t)).groupBy("hhid").agg(
         F.count("*").alias("hh_size"), F.when(F.count("grp") > 0, F.coalesce(F.sum("afe"), F.lit(0.0))).alias("afe"))
-    return rounded(checks.mean_by(sized.filter(F.col("afe").isNotNull()), "afe", "hh_size"))
+    return sized.filter(F.col("afe").isNotNull())
+
+
+POINTS = [x / 2 for x in range(0, 41)]
+
+
+@query("afe_smooth", "kcal people", """
+    WITH sums AS (SELECT p.hh_size AS x, count(*) AS n, sum(a.afe) AS s FROM (SELECT hhid, count(*) AS hh_size FROM people GROUP BY hhid) p
+                  JOIN (SELECT hhid, sum(coalesce(kcal, 0) / 2291e0) AS afe FROM kcal GROUP BY hhid) a ON p.hhid = a.hhid GROUP BY p.hh_size),
+    met AS (SELECT *, abs(x - x0) AS d FROM sums, (SELECT unnest(range(0, 41)) / 2e0 AS x0)),
+    upto AS (SELECT *, sum(n) OVER (PARTITION BY x0 ORDER BY d) AS c FROM met),
+    near AS (SELECT *, min(d) FILTER (c >= ceil(0.75e0 * (SELECT sum(n) FROM sums))) OVER (PARTITION BY x0) AS q, min(d) OVER (PARTITION BY x0) AS least FROM upto),
+    weighed AS (SELECT x0, n, n * w AS wn, s * w AS ws, u FROM (SELECT *, CASE WHEN q = least THEN 1e0 ELSE pow(1 - pow(d / q, 3), 3) END AS w,
+                CASE WHEN q = 0 THEN 0e0 ELSE (x - x0) / q END AS u FROM near WHERE CASE WHEN q = least THEN d = q ELSE d < q END)),
+    m AS (SELECT x0, sum(n) AS n, count(*) AS k, sum(wn) AS a, sum(wn * u) AS b, sum(wn * u * u) AS c, sum(wn * u ** 3) AS d, sum(wn * u ** 4) AS e,
+                 sum(ws) AS p, sum(ws * u) AS q, sum(ws * u * u) AS r FROM weighed GROUP BY x0)
+    SELECT x0, CAST(n AS BIGINT) AS n, round(CASE WHEN k > 2 THEN (p * (c * e - d * d) - b * (q * e - d * r) + c * (q * d - c * r)) / (a * (c * e - d * d) - b * (b * e - c * d) + c * (b * d - c * c))
+           WHEN k = 2 THEN (p * c - q * b) / (a * c - b * b) ELSE p / a END, 5) AS smooth_afe FROM m""")
+def afe_smooth(t):
+    """The smooth curve of adult equivalents over household size."""
+    return rounded(checks.smooth(_sized(t), "afe", "hh_size", POINTS), 5, "smooth_afe").withColumnRenamed("at", "x0")
 
 
 # Adult equivalents are not in the test tables: 1 from 15 years on, 0.3 and 0.03 a year below.

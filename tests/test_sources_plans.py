@@ -85,6 +85,37 @@ class TestChecks:
         df = rows("x int, y double", (1, 1.0), (1, 3.0))
         assert checks.mean_by(df, "y", "x").first().slope is None
 
+    @pytest.mark.parametrize("degree", [0, 1, 2])
+    def test_smooth(self, rows, degree):
+        """Against a weighted least-squares fit over the rows themselves."""
+        import numpy as np
+
+        draw = np.random.default_rng(3)
+        x, y = draw.integers(1, 12, 300).astype(float), draw.random(300)
+        df = rows("x double, y double", *zip(x.tolist(), y.tolist(), strict=True), (None, 1.0), (3.0, None))
+        got = {r["at"]: (r.n, r.smooth_y) for r in checks.smooth(df, "y", "x", [1, 4.5, 7, 20, 7], span=0.6, degree=degree).collect()}
+        assert sorted(got) == [1, 4.5, 7, 20]
+        for at, (n, value) in got.items():
+            d = np.abs(x - at)
+            q = np.sort(d)[int(np.ceil(0.6 * 300)) - 1]
+            w = np.where(d < q, (1 - (d / q) ** 3) ** 3, 0)
+            fit = np.polyfit(x - at, y, degree, w=np.sqrt(w))
+            assert n == (w > 0).sum() and value == pytest.approx(fit[-1])
+
+    def test_smooth_follows_a_curve(self, rows):
+        df = rows("x double, y double", *[(i / 10, (i / 10) ** 2 - i) for i in range(100)])
+        for r in checks.smooth(df, "y", "x", [0.0, 3.3, 9.9], span=0.3).collect():
+            assert r.smooth_y == pytest.approx(r["at"] ** 2 - 10 * r["at"], abs=1e-8)
+
+    def test_smooth_of_few_values(self, rows):
+        one = rows("x int, y double", (2, 1.0), (2, 3.0), (2, None))
+        assert sorted((r["at"], r.n, r.smooth_y) for r in checks.smooth(one, "y", "x", [2, 5]).collect()) == [(2, 2, 2.0), (5, 2, 2.0)]
+        two = rows("x int, y double", (1, 1.0), (2, 3.0), (4, 9.0))
+        assert {r["at"]: r.smooth_y for r in checks.smooth(two, "y", "x", [1], span=1.0).collect()}[1] == pytest.approx(1.0)
+        assert checks.smooth(one.limit(0), "y", "x", [1]).count() == 0
+        with pytest.raises(ValueError):
+            checks.smooth(one, "y", "x", [1], degree=3)
+
     def test_log_log(self, rows):
         df = rows("x double, y double", (1.0, 2.0), (10.0, 200.0), (0.0, 1.0), (-1.0, 1.0), (None, 1.0))
         r = checks.log_log_fit(df, "y", "x").first()
