@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larder import params
 from larder.catalogue import query, rounded
+from larder.functions.missing import outside
 from larder.operators import cleaning, sketches
+from larder.operators.accounting import Account
+from larder.operators.joins import na_join
+from larder.operators.ordering import quantiles_exact
 from larder.sources.adapters import EXCLUDED_ITEMS, ISO3, SURVEY
 from larder.sources.staging import stage
 
@@ -95,6 +100,26 @@ def impute_median(t):
     return rounded(filled.select("interview_id", "hhid", "item_code", "quantity_g"))
 
 
+@query("row_accounting", "diary portioned xwalk scaled blanked filled", """
+    SELECT 'listed item' AS rule, 'dropped' AS effect, count(*) AS n_rows, CAST(count(*) FILTER (item_code IN (1, 2, 3)) AS BIGINT) AS n_changed FROM diary
+    UNION ALL SELECT 'quantity out of range', 'dropped', count(*), count(*) - (SELECT count(*) FROM scaled)
+    FROM portioned p LEFT JOIN xwalk x ON p.interview_id IS NOT DISTINCT FROM x.interview_id
+    UNION ALL SELECT 'outlier', 'blanked', count(*), count(raw_g) - count(g1) FROM blanked
+    UNION ALL SELECT 'median', 'filled', count(*), (SELECT count(f1) FROM filled) - count(g1) FROM blanked""")
+def row_accounting(t):
+    """What each rule of the cleaning job drops, blanks and fills, counted while the job runs."""
+    account = Account()
+    kept = account.keep(cleaning.to_grams(t.diary()), "listed item", outside(F.col("item_code"), EXCLUDED_ITEMS))
+    scaled = cleaning.per_afe(cleaning.edible(cleaning.daily_average(kept), t.edible()), _households(t))
+    in_range = (F.col("quantity_g") != 0) & (F.col("quantity_g") <= params.MAX_GRAMS_PER_AFE)
+    scaled = stage(account.keep(scaled, "quantity out of range", in_range).select("interview_id", "hhid", "item_code", "quantity_g"))
+    cut = na_join(scaled, cleaning.log_cutpoint(scaled, k=1), "item_code")
+    blanked = stage(account.blank(cut, "outlier", "quantity_g", F.log10("quantity_g") > F.col("cutpoint")).drop("cutpoint"))
+    medians = quantiles_exact(blanked, "quantity_g", [0.5], ["hhid"], by=["item_code"], names=["median"])
+    stage(account.fill(na_join(blanked, medians, "item_code"), "median", "quantity_g", F.col("median")))
+    return account.table(t.spark)
+
+
 @query("sketch_medians", "scaled", """
     SELECT item_code, count(quantity_g) AS n, round(quantile_disc(quantity_g, 0.5), 6) AS median, round(quantile_disc(quantity_g, 0.9), 6) AS p90
     FROM scaled WHERE quantity_g IS NOT NULL GROUP BY item_code""")
