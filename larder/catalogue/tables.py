@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larder import params
 from larder.catalogue import query, rounded
 from larder.operators.intake import apparent_intake, base_model
+from larder.plans.layout import read_bucketed, unique_name, write_bucketed
 from larder.sources import schemas
 from larder.sources.adapters import ISO3, SURVEY
 from larder.sources.labelled import read_labelled, value_labels, write_labelled
@@ -46,6 +47,16 @@ def write_read_roundtrip(t):
     return rounded(read_table(t.spark, target, schemas.intake()), 5)
 
 
+@query("bucketed_intake", "intake", f"""
+    SELECT CAST(hhid AS VARCHAR) AS hhid, {", ".join(f"round({n}, 5) AS {n}" for n in params.CORE_NUTRIENTS)} FROM intake""")
+def bucketed_intake(t):
+    """Intake from tables laid out by household."""
+    name = unique_name("survey")
+    write_bucketed(t.survey(), name, stage_path(t.spark, "bucketed"), 8)
+    intake = apparent_intake(read_bucketed(t.spark, name, t.fct()), CORE)
+    return rounded(intake.withColumn("hhid", F.col("hhid").cast("string")), 5)
+
+
 @query("decode_labels", "persons region_labels", """
     SELECT l.label AS adm1, count(*) AS n_people FROM persons p LEFT JOIN region_labels l ON p.adm1 = l.code
     GROUP BY l.label""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larder import params
 from larder.functions.missing import total
-from larder.operators.joins import na_join
+from larder.operators.joins import SOLID_KEY, has_solid_key, keyed, na_join
 from larder.sources.staging import stage
 from larder.sources.tables import Survey
 
@@ -27,7 +27,7 @@ def item_intakes(survey: Survey, flags: DataFrame | None, nutrients: Sequence[st
     quantities are summed first and composition joins one row per item: the facts are
     scanned once for every nutrient and group, and no hot item reaches a join.
     """
-    households = survey.hh.select("hhid", "afe")
+    households = survey.hh.select(*keyed(survey.hh, "hhid"), "afe")
     if set(groups) - {"total"}:
         if flags is None:
             raise ValueError("risk groups need household flags")
@@ -37,7 +37,11 @@ def item_intakes(survey: Survey, flags: DataFrame | None, nutrients: Sequence[st
         # The stage also has a known size, by which Spark may choose to broadcast it.
         households = stage(
             na_join(households, flags.select("hhid", *[f"{n}_inadequate" for n in nutrients]), "hhid"))
-    food = na_join(survey.food.select("hhid", "item_code", "quantity_100g"), households, "hhid")
+    food = survey.food.select(*keyed(survey.food, "hhid"), "item_code", "quantity_100g")
+    if has_solid_key(food) and has_solid_key(households):  # both bucketed by household: they meet where they lie
+        food = food.join(households.drop("hhid"), SOLID_KEY, "left")
+    else:
+        food = na_join(food, households.drop(*SOLID_KEY), "hhid")
     quantity = F.when(F.col("afe") > 0, F.try_divide(F.col("quantity_100g"), F.col("afe")))
     sums = []
     if "total" in groups:

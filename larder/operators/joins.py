@@ -51,8 +51,11 @@ def with_solid_key(df: DataFrame, key: str) -> DataFrame:
 
     Grouping by the pair and then joining on it is null-safe *and* keeps one hash
     partitioning for both steps; a null-safe comparison of ``key`` itself would
-    shuffle the aggregate a second time.
+    shuffle the aggregate a second time. A frame that has the pair already, as tables laid out
+    by it do, keeps it, and with it the layout.
     """
+    if has_solid_key(df):
+        return df.drop(key)
     kind = df.schema[key].dataType
     if not isinstance(kind, (T.IntegralType, T.StringType, T.DoubleType)):
         raise TypeError(f"key {key} of type {kind.simpleString()}")
@@ -65,6 +68,15 @@ def with_solid_key(df: DataFrame, key: str) -> DataFrame:
 SOLID_KEY = [_KEY, _MISSING]
 
 
+def has_solid_key(df: DataFrame) -> bool:
+    return set(SOLID_KEY) <= set(df.columns)
+
+
+def keyed(df: DataFrame, key: str) -> list[str]:
+    """``key``, and its pair if the frame has that too."""
+    return [key, *SOLID_KEY] if has_solid_key(df) else [key]
+
+
 def original_key(key: str):
     """The column to select to get ``key`` back from its pair."""
     return F.when(~F.col(_MISSING), F.col(_KEY)).alias(key)
