@@ -2,18 +2,26 @@
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``: shared storage, so that
 a lost executor does not lose the stage. Where that is unset, it is a folder of the
-warehouse, which is shared too. Stages made inside ``owned`` are removed at its end.
+warehouse, which is shared too. Stages made inside ``owned`` are removed at its end; each thread
+owns what it made.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWNERS: list[list[str]] = []
+_LOCAL = threading.local()
+
+
+def _owners() -> list[list[str]]:
+    if not hasattr(_LOCAL, "owners"):
+        _LOCAL.owners = []
+    return _LOCAL.owners
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -24,8 +32,8 @@ def staging_root(spark: SparkSession) -> str:
 def stage_path(spark: SparkSession, name: str) -> str:
     """A path under the staging folder that no other job uses."""
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if _OWNERS:
-        _OWNERS[-1].append(path)
+    if _owners():
+        _owners()[-1].append(path)
     return path
 
 
@@ -38,11 +46,11 @@ def remove(spark: SparkSession, path: str) -> None:
 def owned(spark: SparkSession) -> Iterator[None]:
     """Remove at the end what was staged inside. Frames that read those stages must be used up by then."""
     paths: list[str] = []
-    _OWNERS.append(paths)
+    _owners().append(paths)
     try:
         yield
     finally:
-        _OWNERS.remove(paths)
+        _owners().pop()
         for path in paths:
             remove(spark, path)
 

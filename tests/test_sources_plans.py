@@ -229,6 +229,29 @@ def test_parameters_are_complete():
 
 
 class TestStaging:
+    def test_threads_own_their_own_stages(self, spark):
+        """A thread that ends its block leaves another thread's stages alone."""
+        import threading
+
+        made, first_done, both_made = {}, threading.Event(), threading.Barrier(2)
+
+        def work(name):
+            with staging.owned(spark):
+                made[name] = stage(spark.range(3))
+                both_made.wait(60)
+                if name == "late":
+                    first_done.wait(60)
+                    made["count"] = made["late"].count()
+            first_done.set()
+
+        threads = [threading.Thread(target=work, args=(n,)) for n in ("early", "late")]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join(120)
+        assert made["count"] == 3
+        assert not any(os.path.exists(f.removeprefix("file://")) for n in ("early", "late") for f in made[n].inputFiles())
+
     def test_a_finished_job_leaves_nothing(self, spark, rows):
         with staging.owned(spark):
             df = staging.stage(rows("a int", (1,), (2,)))
