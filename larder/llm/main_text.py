@@ -4,13 +4,16 @@ Markup is stripped first: one line for each block, character references decoded,
 space made single. What stands in elements that never hold an article's text (menus,
 headers, footers, asides, forms, scripts, styles, and elements whose class or id says
 advert, notice, comments and the like), or outside the ``article`` or ``main`` element of a
-page that has one, leaves an empty line in its place. The lengths of the lines are summed
-over a sliding window. Where the sum surges, main text begins, and it ends where the sum
-dives to nothing: the lines between are the text, short ones included.
+page that has one, has length 0. The lengths of the lines are summed over a sliding
+window. Where the sum surges over ``SURGE`` characters, main text begins, and it ends where the
+sum dives to nothing. This holds on every page; on one with no window over ``SURGE``, the largest windows surge.
 
-A page without an article element must surge over ``SURGE`` characters, unless its largest
-window is below that; a page with one surges at its first text. Null and empty pages have
-empty text. Repeated rows are extracted alike.
+What is found is then completed by short lines that the windows miss: those before a surge point with no gap
+of a window's size between, in the same container, and those in the same container elsewhere (after an
+advert within an article, say), if that is not the whole body. A container without a surge, an
+article's teaser for instance, gives nothing.
+
+Null and empty pages have empty text. Repeated rows are extracted alike.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.texts import encoded
+from larder.llm.texts import chunked
 
 WINDOW, SURGE = 3, 80
 # Element names of HTML by what they do to text.
@@ -33,6 +36,7 @@ footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main
 section summary table tbody td tfoot th thead title tr ul""".split())
 NOISE = frozenset("""head title nav header footer aside form menu button select input textarea label fieldset dialog iframe
 object svg canvas audio video map search""".split())
+CONTAINERS = frozenset("article main section div td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|textarea|title|iframe|xmp"
 _NOISE_NAME = re.compile(
@@ -51,17 +55,20 @@ def is_noise(name: str, more: str) -> bool:
     return name not in ("html", "body", "main") and any(_NOISE_NAME.search(" ".join(m.groups(""))) for m in _NAMED.finditer(more))
 
 
-def lines_of(page: str) -> tuple[list[str], bool]:
-    """One line per block, empty where its text is noise or outside the article; whether there is an article."""
+def lines_of(page: str) -> tuple[list[str], list[int]]:
+    """One line per block, empty where its text is noise or outside the article; the container of each, 0 for the body."""
     lines: list[str] = []
     inside: list[bool] = []
+    held_by: list[int] = []
+    containers: list[tuple[str, int]] = []
     buffer: list[str] = []
     noise: list[str] = []  # the open elements from the outermost noise element on
-    articles, any_article = 0, False
+    articles, any_article, number = 0, False, 0
 
     def close() -> None:
         lines.append(" ".join("".join(buffer).split()))
         inside.append(articles > 0)
+        held_by.append(containers[-1][1] if containers else 0)
         buffer.clear()
 
     at = 0
@@ -82,8 +89,12 @@ def lines_of(page: str) -> tuple[list[str], bool]:
                     del noise[len(noise) - 1 - noise[::-1].index(name):]
                 elif name in ("body", "html"):
                     noise.clear()
-            elif name in ("article", "main") and articles:
-                articles -= 1
+            else:
+                if name in ("article", "main") and articles:
+                    articles -= 1
+                if any(name == open_ for open_, _ in containers):
+                    while containers.pop()[0] != name:
+                        pass
             continue
         void = name in VOID or token["more"].endswith("/")
         wanted = name in ("article", "main") and not is_noise(name, token["more"])
@@ -92,16 +103,20 @@ def lines_of(page: str) -> tuple[list[str], bool]:
         if noise:
             if not void:
                 noise.append(name)
-        elif wanted:
-            articles, any_article = articles + 1, True
-        elif not void and is_noise(name, token["more"]):
+        elif not wanted and not void and is_noise(name, token["more"]):
             noise.append(name)
+        else:
+            if wanted:
+                articles, any_article = articles + 1, True
+            if name in CONTAINERS and not void:
+                number += 1
+                containers.append((name, number))
     if not noise:
         buffer.append(html.unescape(page[at:]))
     close()
     if any_article:
         lines = [line if held else "" for line, held in zip(lines, inside, strict=True)]
-    return lines, any_article
+    return lines, held_by
 
 
 def regions(lengths: np.ndarray, surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -120,12 +135,30 @@ def regions(lengths: np.ndarray, surge: int, window: int = WINDOW) -> list[tuple
     return found
 
 
+def chosen(lengths: np.ndarray, held_by: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> np.ndarray:
+    """Which lines are main text: the regions, and what completes them."""
+    most = int(np.convolve(lengths, np.ones(window, int)).max(initial=0))
+    keep = np.zeros(len(lengths), bool)
+    for start, stop in regions(lengths, min(surge, most - 1), window) if most else []:
+        keep[start:stop] = True
+    full = lengths > 0
+    found = keep & full
+    for first in np.flatnonzero(keep & ~np.r_[False, keep[:-1]]):
+        lead = first + int(np.argmax(full[first:]))
+        gap = lead - first
+        for line in range(first - 1, -1, -1):
+            gap = 0 if full[line] else gap + 1
+            if gap >= window or held_by[line] != held_by[lead] and full[line]:
+                break
+            keep[line] |= full[line]
+    whole = set(held_by[found].tolist()) - {0}
+    return (keep | np.isin(held_by, list(whole))) & full
+
+
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    lines, article = lines_of(page)
-    lengths = np.array([len(line) for line in lines])
-    total = np.convolve(lengths, np.ones(window, int)).max()
-    least = 0 if article or total <= surge else surge
-    return "\n".join(line for a, b in regions(lengths, least, window) for line in lines[a:b] if line)
+    lines, held_by = lines_of(page)
+    keep = chosen(np.array([len(line) for line in lines]), np.array(held_by), window, surge)
+    return "\n".join(lines[i] for i in np.flatnonzero(keep))
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", page: str = "html", keep: tuple[str, ...] = ("url",),
@@ -135,8 +168,7 @@ def extracted(pages: DataFrame, page_id: str = "page_id", page: str = "html", ke
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = encoded(batch.column(batch.num_columns - 1))
+        for batch, raw in chunked(batches, "page"):
             texts = [main_text(x.decode(), window, surge) for x in raw]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],

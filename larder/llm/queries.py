@@ -122,15 +122,18 @@ def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judged(table(spark, sf_dir, "documents"))
 
 
-# The tables' pages all have an article element; SQL says what its text is, by no windows.
+# Lines of the article element (menus, adverts and footers lie outside it in these tables); a page's
+# windows of three lines decide whether it surges, over 80 or at the largest window.
 @_query("op9_main_text", r"""
 WITH bodies AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
-blocks AS (SELECT page_id, k, trim(regexp_replace(replace(replace(replace(regexp_replace(
+blocks AS (SELECT page_id, k, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(
              regexp_replace(regexp_replace(b, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"', 'g'),
-             '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS t
+             '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t
            FROM (SELECT page_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS k
                  FROM (SELECT page_id, regexp_split_to_array(body, '</?(?:p|h1)>') AS bs FROM bodies))),
-texts AS (SELECT page_id, string_agg(t, chr(10) ORDER BY k) AS text FROM blocks WHERE t <> '' GROUP BY page_id)
+sums AS (SELECT page_id, sum(len(t)) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s FROM blocks),
+surges AS (SELECT page_id FROM (SELECT page_id, s, max(s) OVER (PARTITION BY page_id) AS most FROM sums) WHERE s > least(80, most - 1) AND most > 0 GROUP BY page_id),
+texts AS (SELECT page_id, string_agg(t, chr(10) ORDER BY k) AS text FROM blocks SEMI JOIN surges USING (page_id) WHERE t <> '' GROUP BY page_id)
 SELECT page_id, url, coalesce(text, '') AS text, CAST(len(coalesce(text, '')) AS BIGINT) AS n_chars FROM bodies LEFT JOIN texts USING (page_id)""")
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extracted(table(spark, sf_dir, "pages"))
