@@ -3,11 +3,12 @@
 Lines are normalised (ASCII letters lower-cased, digits made 0, white space between words
 made one space), hashed, and counted per host by the number of different texts that hold
 them, so that copies of one document don't make its lines frequent. Lines that more than
-``SHARE`` of a host's texts hold, and more than ``LEAST_TEXTS`` of them, are removed; a document that keeps less
+``MOST_TEXTS`` of a host's texts hold are removed, however many texts the host has; a document that keeps less
 than ``LEFT`` of its words is depleted and is rejected, as is one that fails the base rules.
 
-A host can have fewer than (mean lines of a text) / ``SHARE`` frequent lines, so they fit in
-an array per host, whatever the number of documents.
+Counts are summed before rows move, first by text and then by host and line, so neither a host nor a
+line with a large part of all rows meets in one task. The frequent lines are joined by host
+and line; what comes back to a text is the list of its own frequent lines.
 
 Null texts have no words and fail the base rules. A null host is a host like any other.
 Repeated rows are judged alike, each giving a row.
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.staging import staged
+from larder.llm.staging import sent_if_small, staged
 from larder.llm.texts import Flat, Runs, chunked, mix, positions, windows
 
-SHARE, LEAST_TEXTS, LEFT = 0.2, 5, 0.3
+MOST_TEXTS, LEFT = 20, 0.3
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
 WINDOW = 3
 _NOT_SPACE = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
@@ -108,29 +109,29 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     return source.mapInArrow(measure, schema)
 
 
-def frequent_pairs(found: DataFrame, share: float = SHARE, least: int = LEAST_TEXTS) -> DataFrame:
-    """(host, hash) of the lines that are frequent in a host."""
-    texts = found.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    # First by text, so that neither a host nor a line with a large part of all rows meets in one task.
+def frequent_lines(found: DataFrame, most: int = MOST_TEXTS) -> DataFrame:
+    """(of, often): the lines (hashes) that more than ``most`` different texts of a host hold."""
     held = (found.select("host", "text_hash", F.explode("lines.hash").alias("hash")).distinct()
             .groupBy("host", "hash").agg(F.count("*").alias("held")))
-    often = held.where(F.col("held") > least).join(texts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
-    return often.where(F.col("held") > share * F.col("texts")).select("host", "hash")
+    return staged(held.where(F.col("held") > most).select(F.col("host").alias("of"), F.col("hash").alias("often")), "frequent-lines")
 
 
-def frequent_lines(found: DataFrame, share: float = SHARE, least: int = LEAST_TEXTS) -> DataFrame:
-    """Per host an array of the hashes of its frequent lines."""
-    return (frequent_pairs(found, share, least)
-            .groupBy("host").agg(F.collect_list("hash").alias("frequent")).withColumnRenamed("host", "frequent_host"))
+def to_remove(found: DataFrame, most: int = MOST_TEXTS) -> DataFrame:
+    """(drop_host, drop_text, drop): each text's own frequent lines; texts without any have no row."""
+    often = sent_if_small(frequent_lines(found, most))
+    lines = found.select("host", "text_hash", F.explode("lines.hash").alias("hash"))
+    met = lines.join(often, lines["host"].eqNullSafe(often["of"]) & (lines["hash"] == often["often"]), "left_semi").distinct()
+    drops = met.groupBy(F.col("host").alias("drop_host"), F.col("text_hash").alias("drop_text")).agg(F.collect_list("hash").alias("drop"))
+    return sent_if_small(staged(drops, "lines-to-remove"), weight="drop")
 
 
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-           share: float = SHARE, least: int = LEAST_TEXTS, left: float = LEFT) -> DataFrame:
+           most: int = MOST_TEXTS, left: float = LEFT) -> DataFrame:
     """Counts and verdict of every document; ``removed_words`` are those in frequent lines."""
     found = staged(measures(docs, doc_id, text, host), "measures")
-    often = frequent_lines(found, share, least)
-    both = found.join(often, found["host"].eqNullSafe(often["frequent_host"]), "left")
-    hit = F.filter("lines", lambda line: F.array_contains(F.coalesce("frequent", F.array().cast("array<bigint>")), line["hash"]))
+    drops = to_remove(found, most)
+    both = found.join(drops, (found["text_hash"] == drops["drop_text"]) & found["host"].eqNullSafe(drops["drop_host"]), "left")
+    hit = F.filter("lines", lambda line: F.array_contains(F.coalesce("drop", F.array().cast("array<bigint>")), line["hash"]))
     removed = F.aggregate(hit, F.lit(0).cast("long"), lambda total, line: total + line["words"])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     return both.select(
@@ -139,19 +140,14 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: st
         "kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= left * F.col("n_words")))
 
 
-def without_frequent(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", share: float = 0.0,
-                     least: int = LEAST_TEXTS, n_chars: str = "n_chars") -> DataFrame:
-    """The documents, all columns kept, without the lines that more than ``least`` texts of their host hold.
+def without_frequent(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", most: int = MOST_TEXTS,
+                     n_chars: str = "n_chars") -> DataFrame:
+    """The documents, all columns kept, without the lines that more than ``most`` texts of their host hold.
 
-    No share of the host's texts is asked for unless given, so a large host has no looser limit. Frequent lines
-    are joined by host and hash. A column ``n_chars`` follows the text.
+    The same lines go that ``judged`` counts as removed. A column ``n_chars`` follows the text.
     """
     found = staged(measures(docs, doc_id, text, host).select("host", "text_hash", "lines"), "measures")
-    often = frequent_pairs(found, share, least).select(F.col("host").alias("of"), F.col("hash").alias("often"))
-    flat = found.select("host", "text_hash", F.explode("lines.hash").alias("hash")).distinct()
-    met = flat.join(often, flat["host"].eqNullSafe(often["of"]) & (flat["hash"] == often["often"]), "left_semi")
-    drops = met.groupBy(F.col("host").alias("__host"), F.col("text_hash").alias("__hash")).agg(F.collect_set("hash").alias("__drop"))
-    drops = staged(drops, "frequent-lines")
+    drops = to_remove(found, most).select(F.col("drop_host").alias("__host"), F.col("drop_text").alias("__hash"), F.col("drop").alias("__drop"))
     names = docs.columns
     both = docs.join(drops, (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == drops["__hash"])
                      & docs[host].cast("string").eqNullSafe(drops["__host"]), "left").select(*(docs[c] for c in names), "__drop")

@@ -107,9 +107,7 @@ lines AS (SELECT doc_id, source, text, line, len(regexp_extract_all(line, '[^\x2
 full_lines AS (SELECT * FROM lines WHERE nw > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
 held AS (SELECT source, norm, count(DISTINCT text) AS n FROM full_lines GROUP BY ALL),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM t GROUP BY source),
-often AS (SELECT held.source, norm FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source
-          WHERE held.n > 5 AND held.n > 0.2 * hosts.n),
+often AS (SELECT source, norm FROM held WHERE n > 20),
 gone AS (SELECT doc_id, CAST(sum(nw) AS BIGINT) AS n FROM full_lines JOIN often
          ON full_lines.source IS NOT DISTINCT FROM often.source AND full_lines.norm = often.norm GROUP BY doc_id),
 counted AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,

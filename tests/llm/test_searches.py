@@ -98,19 +98,23 @@ class TestLineFrequency:
         own = lambda i: " ".join(f"w{chr(97 + i)}{chr(97 + j // 8)}{chr(97 + j % 8)}" for j in range(60))
         docs = [(i, f"{common}\nnumber {i}" if i < 8 else own(i), "h") for i in range(16)]
         copies = [(100 + i, own(25), "h") for i in range(30)]  # copies of one text don't make its lines frequent
-        got = {r.doc_id: r for r in line_frequency.judged(rows("doc_id long, text string, source string", *docs, *copies)).collect()}
+        table = rows("doc_id long, text string, source string", *docs, *copies)
+        assert all(r.removed_words == 0 for r in line_frequency.judged(table).collect())  # 8 texts are not over the limit
+        got = {r.doc_id: r for r in line_frequency.judged(table, most=5).collect()}
         assert [got[i].kept for i in range(16)] == [False] * 8 + [True] * 8
         assert not got[0].base_failed and got[0].removed_words >= 99
         assert all(got[100 + i].kept for i in range(30))
 
 
     def test_lines_above_an_absolute_limit_go(self, rows):
-        """A line in 7 of 100 texts of a host is far below a fifth of them; it goes, but stays in a host with 5 such texts."""
+        """A line in 7 of 100 texts of a host goes, however many texts that host has, but stays in a host with 5 such texts."""
         docs = [(i, f"own {chr(97 + i // 10)}{chr(97 + i % 10)}\n\n Call  US {i}\nend", "h", 9) if i < 7 else (i, f"own {chr(97 + i // 10)}{chr(97 + i % 10)}", "h", 5) for i in range(100)]
         docs += [(200 + i, f"{chr(97 + i)}\ncall us 1", "g", 1) for i in range(5)] + [(300, None, None, None)]
         table = rows("doc_id long, text string, source string, n_chars long", *docs)
-        assert {r.removed_words for r in line_frequency.judged(table).collect()} == {0}
-        got = {r.doc_id: r for r in line_frequency.without_frequent(table).collect()}
+        counted = {r.doc_id: r.removed_words for r in line_frequency.judged(table, most=5).collect()}
+        assert all(n == (4 if i < 7 else 0) for i, n in counted.items())
+        got = {r.doc_id: r for r in line_frequency.without_frequent(table, most=5).collect()}
+        assert line_frequency.without_frequent(table.limit(0)).count() == 0
         assert [got[i].text for i in range(7)] == [f"own a{chr(97 + i)}\n" for i in range(7)] and got[0].n_chars == 7
         assert all((got[i].text, got[i].n_chars) == (t, n) for i, t, _, n in docs[7:])
 
@@ -128,6 +132,25 @@ class TestMainText:
         page = f"<body><div id='nav'><a>Home</a></div><p>ad</p><hr><div></div><div></div><div></div>{body}<div></div><div></div><div></div><p>bye</p>"
         assert main_text.main_text(page).count("long text") == 50 and "bye" not in main_text.main_text(page)
 
+    def test_a_container_without_a_surge_gives_nothing(self):
+        """Windows choose among a page's articles, and what they choose is whole, also behind an advert."""
+        text = "".join(f"<p>{'long text here ' * 9}{i}</p>" for i in range(3))
+        page = (f"<body><article><h2>Teaser</h2><p>more</p></article><article><h1>Head</h1><p>By me</p><div></div><div></div>{text}"
+                f"<div class='ad'><p>a</p><p>b</p><p>c</p><p>d</p></div><p>The end.</p></article><article>Other teaser</article>")
+        got = main_text.main_text(page)
+        assert got.startswith("Head\nBy me\nlong") and got.endswith("2\nThe end.") and "easer" not in got
+
+    def test_same_rule_with_and_without_an_article(self):
+        """Names only say what lies outside: without them, windows and what completes them find the same lines."""
+        text = "".join(f"<p>{'long text here ' * 9}{i}</p>" for i in range(3))
+        for name in ("article", "div"):
+            page = f"<body><nav><li>a</li><li>b</li><li>c</li></nav><{name}><h1>Head</h1><p>By me</p>{text}<p>end</p></{name}><footer><p>x</p></footer>"
+            assert main_text.main_text(page).split("\n")[:2] == ["Head", "By me"] and main_text.main_text(page).endswith("2\nend")
+
+    def test_long_page(self):
+        page = "<article>" + "<p>word word</p>" * 120_000 + "</article>"
+        assert main_text.main_text(page) == "\n".join(["word word"] * 120_000)
+
     def test_odd(self, rows):
         pages = rows("page_id long, url string, html string, text string", (1, None, None, "x"), (None, "u", "", "x"), (3, "u", "just words", "x"),
                      (3, "u", "just words", "x"), (4, "u", "<nav>open<article><p>in", "x"))
