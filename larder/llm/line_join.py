@@ -1,20 +1,24 @@
 """Near-equal lines by a segment-partition edit join.
 
-Two lines within ``threshold`` edits, cut into threshold + 1 segments by the length of one of
-them, agree in at least one segment, at a place that differs by few positions. So each line
+Two lines within ``threshold`` edits, the shorter one cut into threshold + 1 segments by its length,
+agree in at least one segment, at a place that differs by few positions. So each line
 is indexed by its segments (with its length), and probes the indexes of its own and of
 slightly smaller lengths with the substrings at the places that can matter. Lines that meet
 are compared by edit distance, kept to the band of diagonals that can stay within the
 threshold, a band being the bits of one word (bit-parallel, many pairs in step).
 
-A segment that many different lines share would give a pair for each two of them. Such a
-bucket is cut further instead: what is left of its lines without the shared segment must
-again be within the threshold, so it is segmented and met anew inside the bucket. What is
-still crowded after ``LEVELS`` rounds is compared in blocks of bounded size. No candidate is
-dropped.
+How many edits are few depends on the length: a line of n code points may differ by n // ``EVERY`` edits,
+``threshold`` at most, from one that is as long or longer. Very short lines are near only if equal.
 
-A line is the text between newlines, without white space at its ends. Lines shorter than
-``SHORTEST`` code points are near only if equal, and so are all within no edits. Empty lines
+What moves is a key and the number of a line, 16 bytes, and then the texts of lines that met
+another. A bucket of up to ``CROWD`` lines gives its pairs. In a larger one the lines are dealt to blocks, and
+each two blocks are compared in a task, which gets their texts and gives only links. There counts of letters and of
+letters next to each other come first, as an edit changes those by two and four at most; only pairs that
+pass, and that no smaller key brings together, go on to the edit distance. A key that is common within
+one task's texts is marked there, and its rows are spread over all tasks instead of meeting in one. No
+candidate is dropped.
+
+A line is the text between newlines, without white space at its ends. Empty lines
 are lines too, but belong to no class. Null texts have no lines; neither have empty ones.
 Repeated rows give repeated lines.
 """
@@ -25,22 +29,23 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.components import components
-from larder.llm.staging import removed, staged
+from larder.llm.staging import removed, sent_if_small, staged
 from larder.llm.texts import chunked, mix
 
-THRESHOLD, SHORTEST = 1, 20
-CROWD, LEVELS, BLOCK = 32, 3, 512
-CHUNK = 1 << 20
+THRESHOLD, EVERY = 3, 10
+CROWD, BLOCK = 8, 512
+CHUNK = 1 << 19
+LETTERS, NEIGHBOURS = 32, 96  # counts of a sketch: of letters, and of two letters next to each other
 _M = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_M, -1, 1 << 64))
 _SPACE = b" \t\r\x0b\x0c"
-META = "key long, link binary, role int, low int, high int"
+MARK = -1  # in place of a line: its key is common
+MET = "key long, a long, b long"
 
 
 def lines(raw: bytes) -> list[bytes]:
@@ -51,6 +56,17 @@ def digest(line: bytes) -> bytes:
     return hashlib.md5(line, usedforsecurity=False).digest()
 
 
+def number(digests: list[bytes]) -> np.ndarray:
+    """The first 63 bits of digests: names of lines that fit into a long, with a bit to spare."""
+    found = np.frombuffer(b"".join(x[:8] for x in digests), "<i8") & ~1
+    return np.where(found == MARK & ~1, 0, found)
+
+
+def allowed(length: np.ndarray, threshold: int) -> np.ndarray:
+    """Edits by which a line of that length may differ from one that is no shorter."""
+    return np.minimum(length // EVERY, threshold)
+
+
 class Letters:
     """Code points of strings in one array, with hashes of any substring."""
 
@@ -78,159 +94,211 @@ def segment(length: np.ndarray, i: int, threshold: int) -> tuple[np.ndarray, np.
     return low, low + size + (i >= first_long)
 
 
-def meetings(letters: Letters, before: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
-    """Row, key, role (0 index, 1 probe) and the bounds of the substring, for every string of at least threshold + 1 code points.
-
-    ``before``: keys of the buckets that the strings are in already.
-    """
-    row = np.flatnonzero(letters.lengths > threshold)
-    length, out = letters.lengths[row], []
-    for delta in range(threshold + 1):
-        other = length - delta  # of the line that is indexed
-        for i in range(threshold + 1):
-            start, stop = segment(other, i, threshold)
-            # Shifts that matter if this is the first agreeing segment or the last.
-            low = max(-i, delta - (threshold - i))
-            high = min(i, delta + (threshold - i))
-            for shift in range(low, high + 1):
-                ok = (start + shift >= 0) & (stop + shift <= length) & (other > threshold)
-                r, a, b = row[ok], (start + shift)[ok], (stop + shift)[ok]
-                with np.errstate(over="ignore"):
-                    key = mix(letters.hashes(r, a, b) ^ mix(before[r] + other[ok].astype(np.uint64) * np.uint64(64) + np.uint64(i)))
-                out.append((r, key, np.full(len(r), int(delta > 0 or shift != 0)), a, b))
-    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 5
-
-
-def _table(links: list[bytes], found: tuple[np.ndarray, ...], rest: list[str] | None = None) -> pa.RecordBatch:
-    row, key, role, low, high = found
-    columns = [pa.array(key.view(np.int64)), pa.array(links, pa.binary()).take(pa.array(row)), pa.array(role.astype(np.int32)),
-               pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))]
-    names = ["key", "link", "role", "low", "high"]
-    if rest is not None:
-        columns.append(pa.array(rest, pa.string()).take(pa.array(row)))
-        names.append("rest")
-    return pa.RecordBatch.from_arrays(columns, names=names)
-
-
-def _first_meetings(threshold: int):
+def meetings(letters: Letters, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and role (0 index, 1 probe) of every substring by which a line can meet others."""
+    out = []
+    for edits in range(1, threshold + 1):
+        for delta in range(edits + 1):
+            # Lines that probe lines ``delta`` shorter which allow so many edits.
+            row = np.flatnonzero((letters.lengths > delta) & (allowed(letters.lengths - delta, threshold) == edits))
+            length, other = letters.lengths[row], letters.lengths[row] - delta
+            for i in range(edits + 1):
+                start, stop = segment(other, i, edits)
+                # Shifts that matter if this is the first agreeing segment or the last.
+                low = max(-i, delta - (edits - i))
+                high = min(i, delta + (edits - i))
+                for shift in range(low, high + 1):
+                    ok = (start + shift >= 0) & (stop + shift <= length)
+                    r = row[ok]
+                    with np.errstate(over="ignore"):
+                        key = mix(letters.hashes(r, (start + shift)[ok], (stop + shift)[ok]) ^ mix(other[ok].astype(np.uint64) * np.uint64(64) + np.uint64(i)))
+                    key = np.maximum(key, np.uint64(1))  # 0 stands for none
+                    out.append((r, key, np.full(len(r), int(delta > 0 or shift != 0))))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def routed(key: np.ndarray, link: np.ndarray, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(route, link, key) of one task's rows. Rows meet by ``route``, which is their key, and then need none (0). A key
+    that more than ``crowd`` of these rows have is only marked there, and its rows go wherever their line's number leads."""
+    _, where, counts = np.unique(key, return_inverse=True, return_counts=True)
+    hot = counts[where] > crowd
+    marks = np.unique(key[hot])
+    route = np.concatenate([np.where(hot, mix(link.astype(np.uint64)), key), marks])
+    return route, np.concatenate([link, np.full(len(marks), MARK)]), np.concatenate([np.where(hot, key, np.uint64(0)), marks])
+
+
+def _meeting_rows(threshold: int, crowd: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, raw in chunked(batches, "text", CHUNK):
             here = {digest(x): x.decode() for text in raw for x in lines(text)}
-            here = {k: x for k, x in here.items() if len(x) >= SHORTEST}
-            letters = Letters(list(here.values()))
-            yield _table(list(here), meetings(letters, np.zeros(len(here), np.uint64), threshold))
+            row, key, role = meetings(Letters(list(here.values())), threshold)
+            route, link, key = routed(key, number(list(here))[row] | role, crowd)
+            yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(link), pa.array(key.view(np.int64), mask=key == 0)],
+                                             names=["route", "link", "key"])
 
     return emit
 
 
-def _next_meetings(threshold: int):
-    """From the lines of crowded buckets, without what they share there."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                batch = whole.slice(at, 4000).to_pydict()
-                rest = [x[:a] + "\n" + x[b:] for x, a, b in zip(batch["rest"], batch["low"], batch["high"], strict=True)]
-                before = np.array(batch["key"], np.int64).view(np.uint64)
-                row, key, role, low, high = meetings(Letters(rest), before, threshold)
-                # What only probes in the bucket is not indexed below it either.
-                role = np.maximum(role, np.array(batch["role"])[row])
-                yield _table(batch["link"], (row, key, role, low, high), rest)
-
-    return emit
-
-
-def _met(threshold: int, with_rest: bool):
-    """Through rows sorted by key: pairs of small buckets, and the rows of crowded ones as they are."""
-    empty = {"key": [], "link": [], "role": [], "low": [], "high": [], "rest": [], "other": []}
-
-    def flush(run: list[tuple], out: dict) -> None:
-        links = {}
-        for row in run:
-            links[row[1]] = min(row[2], links.get(row[1], 1))
-        index = [k for k, role in links.items() if role == 0]
-        for a in index:
-            for b, role in links.items():
+def _met(crowd: int):
+    """Through rows sorted by route: pairs of small buckets, and the rows (key, line, role) of crowded ones."""
+    def flush(run: list[int], crowded: bool, key: int | None, out: dict) -> None:
+        if crowded:
+            for x in run:
+                add(out, key, x & ~1, x & 1)
+            return
+        roles: dict[int, int] = {}
+        for link in run:
+            roles[link & ~1] = min(link & 1, roles.get(link & ~1, 1))
+        for a in [x for x, role in roles.items() if role == 0]:
+            for b, role in roles.items():
                 if b != a and (role or a < b):
-                    add(out, (None, min(a, b), None, None, None, None, max(a, b)))
+                    add(out, None, min(a, b), max(a, b))
 
-    def add(out: dict, row: tuple) -> None:
-        for column, value in zip(out.values(), row, strict=True):
+    def add(out: dict, key: int | None, a: int, b: int) -> None:
+        for column, value in zip(out.values(), (key, a, b), strict=True):
             column.append(value)
 
     def batch_of(out: dict) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, key_of_run, crowded = [], None, False
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            same = key[1:] == key[:-1]
+            out: dict = {"key": [], "a": [], "b": []}
+            route, link = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            spread = batch.column(2).is_valid().to_numpy(zero_copy_only=False) & (link != MARK)
+            if spread.any():  # what goes by its line's number is not to meet here
+                rows = batch.filter(pa.array(spread))
+                yield pa.RecordBatch.from_arrays([rows.column(2), pa.array(link[spread] & ~1), pa.array(link[spread] & 1)], names=list(out))
+                route, link = route[~spread], link[~spread]
             # Rows alone with their key go no further; the ends of a batch may go on in the next.
-            shared = np.r_[True, same] | np.r_[same, True]
-            part = batch.filter(pa.array(shared))
-            columns = [part.column(i).to_pylist() for i in range(part.num_columns)]
-            out = {k: [] for k in empty}
-            for row in zip(*columns, strict=True):
-                if row[0] != key_of_run:
-                    if not crowded:
-                        flush(run, out)
-                    run, key_of_run, crowded = [], row[0], False
-                if crowded:
-                    add(out, (*row, None) if with_rest else (*row, None, None))
+            same = route[1:] == route[:-1]
+            shared = np.r_[True, same] | np.r_[same, True] if len(route) else np.zeros(0, bool)
+            for k, x in zip(route[shared].tolist(), link[shared].tolist(), strict=True):
+                if k != key_of_run:
+                    flush(run, crowded, key_of_run, out)
+                    run, key_of_run, crowded = [], k, False
+                if x == MARK:
+                    crowded = True
                     continue
-                run.append(row)
-                if len(run) > CROWD and len({x[1] for x in run}) > CROWD:
-                    for x in run:
-                        add(out, (*x, None) if with_rest else (*x, None, None))
-                    run, crowded = [], True
-                elif len(run) > 4 * CROWD:  # the same lines from many tasks
-                    run = list({x[1:3]: x for x in run}.values())
+                run.append(x)
+                if len(run) > crowd:
+                    run = list(dict.fromkeys(run))  # the same lines from many tasks
+                    if crowded or len({x & ~1 for x in run}) > crowd:
+                        flush(run, True, k, out)
+                        run, crowded = [], True
             yield batch_of(out)
-        out = {k: [] for k in empty}
-        if not crowded:
-            flush(run, out)
+        out = {"key": [], "a": [], "b": []}
+        flush(run, crowded, key_of_run, out)
         yield batch_of(out)
 
     return walk
 
 
-_MET_SCHEMA = META + ", rest string, other binary"
-
-
-def _bucketed(rows: DataFrame, threshold: int) -> DataFrame:
-    dealt = rows.repartition("key").sortWithinPartitions("key")
-    return staged(dealt.mapInArrow(_met(threshold, "rest" in rows.columns), _MET_SCHEMA), "line-buckets")
-
-
-def candidates(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD) -> tuple[list[DataFrame], DataFrame, DataFrame]:
-    """Frames of pairs (a, b) that met; what is left of crowded buckets; the lines (link, line) that any of them names."""
-    source = docs.select(F.col(text).alias("text"))
-    met = _bucketed(source.mapInArrow(_first_meetings(threshold), META), threshold)
-    pairs, crowded = [_pairs(met)], met.where("other IS NULL").drop("other", "rest")
-    wanted = pairs[0].select(F.col("a").alias("link")).unionByName(pairs[0].select(F.col("b").alias("link"))).unionByName(crowded.select("link")).distinct()
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw in chunked(batches, "text"):
-            here = {digest(x): x for t in raw for x in lines(t)}
-            here = {k: x.decode() for k, x in here.items() if len(x) >= SHORTEST}
-            yield pa.RecordBatch.from_arrays([pa.array(list(here), pa.binary()), pa.array(list(here.values()), pa.string())], names=["link", "line"])
-
-    spelt = source.mapInArrow(spell, "link binary, line string")
-    spelt = staged(spelt.join(wanted, "link", "left_semi").dropDuplicates(["link"]), "lines")
-    crowded = crowded.join(spelt.withColumnRenamed("line", "rest"), "link").select("key", "link", "role", "low", "high", "rest")
-    for level in range(LEVELS):
-        if crowded.isEmpty():
-            break
-        nxt = _bucketed(crowded.mapInArrow(_next_meetings(threshold), META + ", rest string"), threshold)
-        pairs.append(_pairs(nxt))
-        crowded = nxt.where("other IS NULL").drop("other")
-    return pairs, crowded, spelt
-
-
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.where("other IS NOT NULL").select(F.col("link").alias("a"), F.col("other").alias("b")).distinct()
+def bucketed(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+    """Pairs of lines (a, b) that met in a small bucket, with no key; (key, line, role) of those in crowded ones."""
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(_meeting_rows(threshold, crowd), "route long, link long, key long")
+    dealt = rows.repartition("route").sortWithinPartitions("route")  # one long: a radix sort
+    return staged(dealt.mapInArrow(_met(crowd), MET).distinct(), "line-buckets")
+
+
+def sketches(letters: Letters, points: np.ndarray) -> np.ndarray:
+    """Counts of classes of letters and of pairs of neighbours, capped. One edit changes the sum of the letter
+    counts' differences by two at most, and that of the neighbours' by four."""
+    n = len(letters.lengths)
+    row = np.repeat(np.arange(n), letters.lengths)
+    with np.errstate(over="ignore"):
+        one = mix(points.astype(np.uint64) + np.uint64(1))
+        inside = row[1:] == row[:-1]
+        two = mix(one[:-1] * np.uint64(_M) + one[1:])[inside]
+        kind = (one % np.uint64(LETTERS)).astype(np.int64)
+        pair = (two % np.uint64(NEIGHBOURS)).astype(np.int64) + LETTERS
+    size = LETTERS + NEIGHBOURS
+    at = np.concatenate([row * size + kind, row[1:][inside] * size + pair])
+    return np.minimum(np.bincount(at, minlength=n * size).reshape(n, size), 127).astype(np.int8)
+
+
+def may_be_near(one: np.ndarray, two: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Whether two rows of sketches allow so few edits."""
+    near = np.abs(one[:, :LETTERS] - two[:, :LETTERS]).sum(1) <= 2 * few
+    left = np.flatnonzero(near)
+    near[left] = np.abs(one[left, LETTERS:] - two[left, LETTERS:]).sum(1) <= 4 * few[left]
+    return near
+
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line of a chunk that may be near another, with its number."""
+    for _, raw in chunked(batches, "text", CHUNK):
+        here = {digest(x): x.decode() for t in raw for x in lines(t)}
+        here = {k: x for k, x in here.items() if len(x) >= EVERY}
+        yield pa.RecordBatch.from_arrays([pa.array(number(list(here))), pa.array(list(here.values()), pa.string())], names=["link", "line"])
+
+
+def spelt_lines(docs: DataFrame, met: DataFrame, text: str = "text") -> DataFrame:
+    """(link, line) of the lines that met another."""
+    wanted = met.select(F.col("a").alias("link")).unionByName(met.where("key IS NULL").select(F.col("b").alias("link"))).distinct()
+    wanted = staged(wanted, "wanted-lines")
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(_spell, "link long, line string")
+    return staged(rows.join(sent_if_small(wanted), "link", "left_semi").dropDuplicates(["link", "line"]), "lines")
+
+
+def crowded_links(met: DataFrame, spelt: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Near lines of crowded buckets, block against block: a line's text goes to each block pair once, and only links leave it."""
+    members = met.where("key IS NOT NULL").groupBy("key", F.col("a").alias("link")).agg(F.min("b").alias("role"))
+    members = staged(members, "crowds")
+    sizes = members.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, F.col("key") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("link"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(spelt, "link").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "role", "line")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        found = near_in_bucket(rows.column("key")[0].as_py(), rows.column("line").to_pylist(), rows.column("role").to_numpy(), rows.column("block").to_numpy(),
+                               rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), threshold)
+        return pa.table([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
+def near_in_bucket(key: int, strings: list[str], role: np.ndarray, block: np.ndarray, one: int, two: int, threshold: int) -> list[list[bytes]]:
+    """Digests of the near pairs, one line of block ``one`` and one of block ``two``, that no smaller key has."""
+    letters = Letters(strings)
+    sketch = sketches(letters, np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4")).astype(np.int16)
+    # Index keys below this one: of two lines that share one, the bucket of that key takes care.
+    row, keys, probes = meetings(letters, threshold)
+    below = np.flatnonzero((probes == 0) & (keys.view(np.int64) < key))
+    held = np.full((len(strings), threshold + 1), -1, np.int64)
+    order = below[np.argsort(row[below], kind="stable")]
+    per = np.bincount(row[order], minlength=len(strings))
+    held[row[order], np.arange(len(order)) - np.repeat(np.cumsum(per) - per, per)] = np.unique(keys[order], return_inverse=True)[1]
+    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    found: list[list[bytes]] = []
+    for at in np.array_split(left, max(1, len(left) // 64)):
+        edits = allowed(np.minimum(letters.lengths[at, None], letters.lengths[None, right]), threshold)
+        near = ((role[at, None] + role[None, right]) < 2) & (np.abs(letters.lengths[at, None] - letters.lengths[None, right]) <= edits)
+        if one == two:
+            near &= at[:, None] < right[None, :]
+        i, j = np.nonzero(near)
+        few = edits[i, j]
+        i, j = at[i], right[j]
+        free = np.ones(len(i), bool)
+        for x in range(threshold + 1):
+            for y in range(threshold + 1):
+                free &= (held[i, x] < 0) | (held[i, x] != held[j, y])
+        i, j, few = i[free], j[free], few[free]
+        free = may_be_near(sketch[i], sketch[j], few)
+        i, j, few = i[free], j[free], few[free]
+        found += verified([strings[k] for k in i.tolist()], [strings[k] for k in j.tolist()], few)
+    return found
+
+
+def verified(left: list[str], right: list[str], edits: np.ndarray) -> list[list[bytes]]:
+    """Digests, the smaller first, of those different pairs that are within the edits allowed to each."""
+    found = []
+    for few in np.unique(edits).tolist():
+        here = [i for i in np.flatnonzero(edits == few).tolist() if left[i] != right[i]]
+        near = within([left[i] for i in here], [right[i] for i in here], few)
+        found += [sorted((digest(left[i].encode()), digest(right[i].encode()))) for i, ok in zip(here, near.tolist(), strict=True) if ok]
+    return found
 
 
 def within(left: list[str], right: list[str], threshold: int) -> np.ndarray:
@@ -281,49 +349,31 @@ def within(left: list[str], right: list[str], threshold: int) -> np.ndarray:
 
 
 def linked(pairs: DataFrame, spelt: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Those of the pairs that are within the edits they are allowed, by the lines' digests, the smaller first."""
     left = spelt.select(F.col("link").alias("a"), F.col("line").alias("line_a"))
     right = spelt.select(F.col("link").alias("b"), F.col("line").alias("line_b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _ in chunked(batches, "line_a", CHUNK):
-            near = within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), threshold)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(compare, "a binary, b binary")
-
-
-def _crowded_links(crowded: DataFrame, spelt: DataFrame, threshold: int) -> DataFrame:
-    """All pairs of a crowded bucket, block against block."""
-    members = crowded.groupBy("key", "link").agg(F.min("role").alias("role"))
-    sizes = members.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, F.col("key") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("link"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "link").join(spelt, "link")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("link", ignore_index=True)
-        x, y = np.triu_indices(len(rows), 1)
-        out = []
-        text, links = rows["line"].to_numpy(), rows["link"].to_numpy()
-        for at in range(0, len(x), 20_000):
-            i, j = x[at:at + 20_000], y[at:at + 20_000]
-            near = within(list(text[i]), list(text[j]), threshold)
-            out += zip(links[i[near]], links[j[near]], strict=True)
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
-
-
-def links(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """Every pair (a, b) of different lines within the threshold, once."""
-    pairs, crowded, spelt = candidates(docs, text, threshold)
-    met = pairs[0]
-    for more in pairs[1:]:
-        met = met.unionByName(more)
-    found = linked(met.distinct(), spelt, threshold)
-    if not crowded.isEmpty():
-        found = found.unionByName(_crowded_links(crowded, spelt, threshold))
-    return staged(found.distinct(), "line-links")
+            one, two = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            shorter = np.minimum(*(np.fromiter(map(len, x), np.int64, len(x)) for x in (one, two)))
+            found = verified(one, two, allowed(shorter, threshold))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("line_a", "line_b").mapInArrow(compare, "a binary, b binary")
+
+
+def links(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+    """Every pair (a, b) of different lines, by their digests, within the edits they are allowed, once."""
+    if threshold < 1:
+        return docs.sparkSession.createDataFrame([], "a binary, b binary")
+    met = bucketed(docs, text, threshold, crowd)
+    spelt = spelt_lines(docs, met, text)
+    near = linked(met.where("key IS NULL").select("a", "b"), spelt, threshold).unionByName(crowded_links(met, spelt, threshold))
+    found = staged(near.distinct(), "line-links")
+    for done in (met, spelt):
+        removed(done)
+    return found
 
 
 def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

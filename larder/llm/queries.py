@@ -167,14 +167,23 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classed(table(spark, sf_dir, "documents")).drop("link")
 
 
-# One edit leaves the first eight or the last eight characters of a line of twenty as they are.
-@_query("op7_line_join", r"""
+# SQL's levenshtein counts bytes: the tables' letters beyond ASCII become control characters, a byte each.
+_BYTES = f"translate(line, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', '{''.join(map(chr, [*range(1, 9), *range(14, 27)]))}')"
+
+
+# Of two lines within t edits the longer one holds one of the shorter one's t + 1 parts, at most t places off.
+@_query("op7_line_join", rf"""
 WITH RECURSIVE split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
 rows_ AS (SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS line_no, trim(unnest(ls), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM split),
-long AS (SELECT DISTINCT line, len(line) AS n FROM rows_ WHERE len(line) >= 20),
-met AS (SELECT a.line AS a, b.line AS b FROM long a JOIN long b ON left(a.line, 8) = left(b.line, 8) AND a.line < b.line AND abs(a.n - b.n) < 2
-        UNION SELECT a.line, b.line FROM long a JOIN long b ON right(a.line, 8) = right(b.line, 8) AND a.line < b.line AND abs(a.n - b.n) < 2),
-near AS (SELECT a, b FROM met WHERE levenshtein(a, b) < 2),
+long AS (SELECT DISTINCT line, len(line) AS n FROM rows_ WHERE len(line) >= 10),
+parts AS (SELECT line, m, n, t, i, i * n // (t + 1) AS low, (i + 1) * n // (t + 1) AS high
+  FROM (SELECT *, unnest(range(0, t + 1)) AS i FROM (SELECT *, least(3, n // 10) AS t
+    FROM (SELECT line, n AS m, n - d AS n, d FROM long, (SELECT unnest([0, 1, 2, 3]) AS d))) WHERE t >= greatest(1, m - n))),
+probes AS (SELECT line, m, n, t, i, substr(line, low + s + 1, high - low) AS seg FROM (SELECT *, unnest(range(-t, t + 1)) AS s FROM parts)
+           WHERE low + s >= 0 AND high + s <= m),
+met AS (SELECT DISTINCT p.line AS a, x.line AS b, p.t FROM probes p JOIN parts x ON x.m = x.n AND p.n = x.n AND p.i = x.i AND p.seg = substr(x.line, x.low + 1, x.high - x.low)
+        WHERE p.m > p.n OR p.line < x.line),
+near AS (SELECT a, b FROM met WHERE levenshtein({_BYTES.replace("line", "a")}, {_BYTES.replace("line", "b")}) <= t),
 edges AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
 reach AS (SELECT a AS node, a AS other FROM edges UNION SELECT node, b FROM reach JOIN edges ON other = a),
 roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node),

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from larder.llm import components, line_dedup, line_join, near_duplicates
 
@@ -110,11 +111,17 @@ def distance(a: str, b: str) -> int:
 def typos(draw: random.Random, text: str, n: int) -> str:
     letters = list(text)
     for _ in range(n):
+        if not letters:
+            break
         at, kind = draw.randrange(len(letters)), draw.randrange(3)
         letters[at:at + (kind > 0)] = draw.choice("xyé") if kind < 2 else ""
     return "".join(letters).strip()
 
 
+def few(a: str, b: str, threshold: int) -> int:
+    return min(threshold, min(len(a), len(b)) // 10)
+
+
 class TestLineJoin:
     def test_distance(self):
         draw = random.Random(3)
@@ -125,34 +132,76 @@ class TestLineJoin:
             assert line_join.within(left, right, threshold).tolist() == want
 
     def test_segments_meet(self):
-        """Every pair within the threshold shares a key, one side indexed."""
+        """Every pair within the edits it is allowed shares a key, one side indexed."""
         draw = random.Random(9)
-        for threshold in (1, 2):
+        for threshold in (1, 2, 3):
             strings = []
-            for _ in range(200):
-                one = "".join(draw.choice("abc") for _ in range(draw.randint(5, 30)))
+            for _ in range(400):
+                one = "".join(draw.choice("abc") for _ in range(draw.randint(5, 45)))
                 strings += [one, typos(draw, one, draw.randint(1, threshold))]
-            row, key, role, _, _ = line_join.meetings(line_join.Letters(strings), np.zeros(len(strings), np.uint64), threshold)
+            row, key, role = line_join.meetings(line_join.Letters(strings), threshold)
             index, every = {}, {}
             for r, k, p in zip(row.tolist(), key.tolist(), role.tolist(), strict=True):
                 every.setdefault(r, set()).add(k)
                 if not p:
                     index.setdefault(r, set()).add(k)
-            for i in range(0, len(strings), 2):
-                a, b = i, i + 1
-                if min(len(strings[a]), len(strings[b])) > threshold and distance(strings[a], strings[b]) <= threshold:
+            for a in range(0, len(strings), 2):
+                b = a + 1
+                if 0 < distance(strings[a], strings[b]) <= few(strings[a], strings[b], threshold):
                     assert index[a] & every[b] or index[b] & every[a]
 
-    def test_crowded_against_brute_force(self, spark):
+    def test_letter_counts_bound_edits(self):
+        draw = random.Random(10)
+        strings = ["".join(draw.choice("abcdé") for _ in range(draw.randint(0, 300))) for _ in range(200)]
+        strings += [typos(draw, x, 3) for x in strings]
+        letters = line_join.Letters(strings)
+        found = line_join.sketches(letters, np.frombuffer("".join(strings).encode("utf-32-le"), "<u4")).astype(int)
+        assert line_join.may_be_near(found[:200], found[200:], np.full(200, 3)).all()
+        assert not line_join.may_be_near(found[:100], found[100:200], np.full(100, 3)).any()
+
+    @staticmethod
+    def found(spark, lines, threshold, **options):
+        docs = spark.createDataFrame([(i, "\n".join(lines[i * 10:i * 10 + 10])) for i in range(-(-len(lines) // 10))], "doc_id long, text string")
+        return {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in line_join.links(docs, threshold=threshold, **options).collect()}
+
+    @staticmethod
+    def wanted(lines, threshold):
+        each = sorted(set(lines))
+        return {tuple(sorted((line_join.digest(x.encode()), line_join.digest(y.encode())))) for i, x in enumerate(each) for y in each[:i]
+                if abs(len(x) - len(y)) <= threshold and distance(x, y) <= few(x, y, threshold)}
+
+    @pytest.mark.parametrize("threshold", [1, 2, 3])
+    def test_crowded_against_brute_force(self, spark, threshold):
         draw = random.Random(3)
         base = prose(draw, 12)
         lines = [typos(draw, base, draw.choice([0, 1, 2, 5])) for _ in range(120)] + [f"line number {draw.randrange(300)} of the same kind" for _ in range(100)]
-        docs = spark.createDataFrame([(i, "\n".join(lines[i * 10:i * 10 + 10])) for i in range(22)], "doc_id long, text string")
-        got = {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in line_join.links(docs).collect()}
-        each = sorted(set(lines))
-        want = {tuple(sorted((line_join.digest(x.encode()), line_join.digest(y.encode())))) for i, x in enumerate(each) for y in each[:i]
-                if abs(len(x) - len(y)) < 2 and distance(x, y) < 2}
-        assert got == want
+        lines += ["".join(draw.choice("ab") for _ in range(draw.randint(8, 14))) for _ in range(150)]
+        lines = [x for x in lines if x]
+        assert self.found(spark, lines, threshold) == self.wanted(lines, threshold)
+        assert self.found(spark, lines, threshold, crowd=4) == self.wanted(lines, threshold)
+
+    def test_near_equal_lines_stay_few_rows(self, spark):
+        """400 lines of 200 characters, two edits from one base, at three edits: all links, and no more rows than keys."""
+        draw = random.Random(14)
+        base = prose(draw, 60)[:200]
+        lines = sorted({typos(draw, base, 2) for _ in range(400)})
+        docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+        met = line_join.bucketed(docs)
+        assert met.count() < 100 * len(lines) and met.where("key IS NULL").count() < 40 * len(lines)
+        got = {(bytes(r.a), bytes(r.b)) for r in line_join.links(docs).collect()}
+        x, y = np.triu_indices(len(lines), 1)
+        near = line_join.within([lines[i] for i in x], [lines[i] for i in y], 3)
+        want = {tuple(sorted((line_join.digest(lines[i].encode()), line_join.digest(lines[j].encode())))) for i, j in zip(x[near], y[near], strict=True)}
+        assert len(want) > 1500 and got == want
+        for i, j in list(zip(x, y, strict=True))[::997]:
+            assert (tuple(sorted((line_join.digest(lines[i].encode()), line_join.digest(lines[j].encode())))) in want) == (distance(lines[i], lines[j]) <= 3)
+
+    def test_common_keys_are_spread(self):
+        """Rows of a key that is common in a task don't go by that key; one mark does."""
+        key = np.array([7] * 50 + [8] * 3, np.uint64)
+        route, link, kept = line_join.routed(key, np.arange(53) * 2, 32)
+        assert len(set(route[:50].tolist())) == 50 and route[50:].tolist() == [8, 8, 8, 7] and (kept[:50] == 7).all()
+        assert link.tolist() == [*range(0, 106, 2), line_join.MARK] and kept[50:].tolist() == [0, 0, 0, 7]
 
     def test_odd(self, rows):
         docs = rows("doc_id long, text string, n_links string", (1, None, "x"), (2, "", "x"), (3, "short\n\nshort", "x"), (3, "short", "x"),
