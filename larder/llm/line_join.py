@@ -1,11 +1,12 @@
 """Near-equal lines by a segment-partition edit join.
 
-Two lines within ``threshold`` edits, the shorter one cut into threshold + 1 segments by its length,
-agree in at least one segment, at a place that differs by few positions. So each line
-is indexed by its segments (with its length), and probes the indexes of its own and of
-slightly smaller lengths with the substrings at the places that can matter. Lines that meet
-are compared by edit distance, kept to the band of diagonals that can stay within the
-threshold, a band being the bits of one word (bit-parallel, many pairs in step).
+Two lines within ``threshold`` edits agree in at least one of threshold + 1 segments of the shorter one,
+at a place that differs by few positions. So each line is indexed by its segments, and probes the
+indexes of its own and of slightly smaller lengths with the substrings at the places that can matter.
+Lengths are taken in classes of a few: segments are as long as the least length of the class has them,
+half of them counted from the line's start and half from its end, so that one substring serves for every
+length of a class. Lines that meet and are about as long are compared by edit distance: per number of edits
+and diagonal the furthest place reached, by runs of equal letters (many pairs in step).
 
 How many edits are few depends on the length: a line of n code points may differ by n // ``EVERY`` edits,
 ``threshold`` at most, from one that is as long or longer. Very short lines are near only if equal.
@@ -44,6 +45,7 @@ LETTERS, NEIGHBOURS = 32, 96  # counts of a sketch: of letters, and of two lette
 _M = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_M, -1, 1 << 64))
 _SPACE = b" \t\r\x0b\x0c"
+LENGTHS = 64  # a line's number has its length modulo this; more than the lengths that meet by a key
 MARK = -1  # in place of a line: its key is common
 MET = "key long, a long, b long"
 
@@ -56,10 +58,15 @@ def digest(line: bytes) -> bytes:
     return hashlib.md5(line, usedforsecurity=False).digest()
 
 
-def number(digests: list[bytes]) -> np.ndarray:
-    """The first 63 bits of digests: names of lines that fit into a long, with a bit to spare."""
-    found = np.frombuffer(b"".join(x[:8] for x in digests), "<i8") & ~1
-    return np.where(found == MARK & ~1, 0, found)
+def number(digests: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """Names of lines that fit into a long: 57 bits of the digest, the length modulo ``LENGTHS``, and a bit to spare."""
+    found = np.frombuffer(b"".join(x[:8] for x in digests), "<i8") & ~(2 * LENGTHS - 1) | lengths % LENGTHS * 2
+    return np.where(found == MARK & ~1, LENGTHS * 2 - 2, found)
+
+
+def as_long(a: int, b: int, threshold: int) -> bool:
+    """Whether the lengths of two lines, by their numbers, may differ by so few."""
+    return ((a >> 1) - (b >> 1) + threshold) % LENGTHS <= 2 * threshold
 
 
 def allowed(length: np.ndarray, threshold: int) -> np.ndarray:
@@ -86,32 +93,43 @@ class Letters:
             return mix((self.sums[b] - self.sums[a]) * self.back[a] + (high - low).astype(np.uint64) * np.uint64(_M))
 
 
-def segment(length: np.ndarray, i: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of segment ``i`` (from 0) of a line of that length; the later segments take the remainder."""
-    size, more = length // (threshold + 1), length % (threshold + 1)
-    first_long = threshold + 1 - more
-    low = i * size + np.maximum(i - first_long, 0)
-    return low, low + size + (i >= first_long)
+def least_length(length: np.ndarray) -> np.ndarray:
+    """The least length of a length's class; classes are 16 wide, of lengths below 64 a quarter of the power of two below."""
+    wide = np.select([length < 16, length < 32, length < 64], [2, 4, 8], 16)
+    return length - length % wide
+
+
+def places(i: int, delta: int, edits: int) -> range:
+    """Shifts of segment ``i`` (from 0) that matter in a line ``delta`` longer, if it is the first agreeing segment or the
+    last; later segments are counted from the end."""
+    low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
+    back = delta if 2 * i > edits else 0
+    return range(low - back, high - back + 1)
 
 
-def meetings(letters: Letters, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, key and role (0 index, 1 probe) of every substring by which a line can meet others."""
+def meetings(letters: Letters, threshold: int, probes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and role (0 index, 1 probe) of every substring by which a line can meet others, or of the index only."""
     out = []
     for edits in range(1, threshold + 1):
-        for delta in range(edits + 1):
+        for delta in range(edits + 1 if probes else 1):
             # Lines that probe lines ``delta`` shorter which allow so many edits.
             row = np.flatnonzero((letters.lengths > delta) & (allowed(letters.lengths - delta, threshold) == edits))
-            length, other = letters.lengths[row], letters.lengths[row] - delta
+            length = letters.lengths[row]
+            least = least_length(length - delta)
+            longer = length - delta + 1
+            known = (delta > 0) & (least_length(longer) == least) & (allowed(longer, threshold) == edits)
+            size = least // (edits + 1)
             for i in range(edits + 1):
-                start, stop = segment(other, i, edits)
-                # Shifts that matter if this is the first agreeing segment or the last.
-                low = max(-i, delta - (edits - i))
-                high = min(i, delta + (edits - i))
-                for shift in range(low, high + 1):
-                    ok = (start + shift >= 0) & (stop + shift <= length)
+                start = length - size * (edits + 1 - i) if 2 * i > edits else size * i
+                with np.errstate(over="ignore"):
+                    name = mix(least.astype(np.uint64) << np.uint64(12) | np.uint64(edits << 6 | i))
+                for shift in places(i, delta, edits) if probes else (0,):
+                    ok = (start + shift >= 0) & (start + shift + size <= length)
+                    if delta and shift in places(i, delta - 1, edits):
+                        ok &= ~known  # the same substring, for longer lines of the class
                     r = row[ok]
                     with np.errstate(over="ignore"):
-                        key = mix(letters.hashes(r, (start + shift)[ok], (stop + shift)[ok]) ^ mix(other[ok].astype(np.uint64) * np.uint64(64) + np.uint64(i)))
+                        key = mix(letters.hashes(r, (start + shift)[ok], (start + shift + size)[ok]) ^ name[ok])
                     key = np.maximum(key, np.uint64(1))  # 0 stands for none
                     out.append((r, key, np.full(len(r), int(delta > 0 or shift != 0))))
     return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -131,16 +149,17 @@ def _meeting_rows(threshold: int, crowd: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, raw in chunked(batches, "text", CHUNK):
             here = {digest(x): x.decode() for text in raw for x in lines(text)}
-            row, key, role = meetings(Letters(list(here.values())), threshold)
-            route, link, key = routed(key, number(list(here))[row] | role, crowd)
+            letters = Letters(list(here.values()))
+            row, key, role = meetings(letters, threshold)
+            route, link, key = routed(key, number(list(here), letters.lengths)[row] | role, crowd)
             yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(link), pa.array(key.view(np.int64), mask=key == 0)],
                                              names=["route", "link", "key"])
 
     return emit
 
 
-def _met(crowd: int):
-    """Through rows sorted by route: pairs of small buckets, and the rows (key, line, role) of crowded ones."""
+def _met(threshold: int, crowd: int):
+    """Through rows sorted by route: pairs of small buckets that are about as long, and the rows (key, line, role) of crowded ones."""
     def flush(run: list[int], crowded: bool, key: int | None, out: dict) -> None:
         if crowded:
             for x in run:
@@ -151,7 +170,7 @@ def _met(crowd: int):
             roles[link & ~1] = min(link & 1, roles.get(link & ~1, 1))
         for a in [x for x, role in roles.items() if role == 0]:
             for b, role in roles.items():
-                if b != a and (role or a < b):
+                if b != a and (role or a < b) and as_long(a, b, threshold):
                     add(out, None, min(a, b), max(a, b))
 
     def add(out: dict, key: int | None, a: int, b: int) -> None:
@@ -199,7 +218,7 @@ def bucketed(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, cr
     """Pairs of lines (a, b) that met in a small bucket, with no key; (key, line, role) of those in crowded ones."""
     rows = docs.select(F.col(text).alias("text")).mapInArrow(_meeting_rows(threshold, crowd), "route long, link long, key long")
     dealt = rows.repartition("route").sortWithinPartitions("route")  # one long: a radix sort
-    return staged(dealt.mapInArrow(_met(crowd), MET).distinct(), "line-buckets")
+    return staged(dealt.mapInArrow(_met(threshold, crowd), MET).distinct(), "line-buckets")
 
 
 def sketches(letters: Letters, points: np.ndarray) -> np.ndarray:
@@ -231,7 +250,8 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, raw in chunked(batches, "text", CHUNK):
         here = {digest(x): x.decode() for t in raw for x in lines(t)}
         here = {k: x for k, x in here.items() if len(x) >= EVERY}
-        yield pa.RecordBatch.from_arrays([pa.array(number(list(here))), pa.array(list(here.values()), pa.string())], names=["link", "line"])
+        lengths = np.fromiter(map(len, here.values()), np.int64, len(here))
+        yield pa.RecordBatch.from_arrays([pa.array(number(list(here), lengths)), pa.array(list(here.values()), pa.string())], names=["link", "line"])
 
 
 def spelt_lines(docs: DataFrame, met: DataFrame, text: str = "text") -> DataFrame:
@@ -264,8 +284,8 @@ def near_in_bucket(key: int, strings: list[str], role: np.ndarray, block: np.nda
     letters = Letters(strings)
     sketch = sketches(letters, np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4")).astype(np.int16)
     # Index keys below this one: of two lines that share one, the bucket of that key takes care.
-    row, keys, probes = meetings(letters, threshold)
-    below = np.flatnonzero((probes == 0) & (keys.view(np.int64) < key))
+    row, keys, _ = meetings(letters, threshold, probes=False)
+    below = np.flatnonzero(keys.view(np.int64) < key)
     held = np.full((len(strings), threshold + 1), -1, np.int64)
     order = below[np.argsort(row[below], kind="stable")]
     per = np.bincount(row[order], minlength=len(strings))
@@ -301,50 +321,50 @@ def verified(left: list[str], right: list[str], edits: np.ndarray) -> list[list[
     return found
 
 
+def agreeing(p: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many code points from p[i] and from q[j] on are equal, at most so many: all pairs a block at a time, blocks growing."""
+    got = np.zeros(len(i), np.int64)
+    live, width = np.flatnonzero(most > 0), 16
+    while len(live):
+        width = max(16, min(width, (1 << 18) // len(live)))
+        span = np.arange(width)
+        left = most[live] - got[live]
+        same = p.take((i[live] + got[live])[:, None] + span, mode="clip") == q.take((j[live] + got[live])[:, None] + span, mode="clip")
+        same &= span < left[:, None]
+        run = np.where(same.all(1), width, same.argmin(1))
+        got[live] += run
+        live, width = live[(run == width) & (left > width)], width * 4
+    return got
+
+
 def within(left: list[str], right: list[str], threshold: int) -> np.ndarray:
-    """Whether each pair is within ``threshold`` edits: the band's cells as bits, all pairs a row of the table at a time.
+    """Whether each pair is within ``threshold`` edits: the furthest places that so many edits reach, all pairs at a time.
 
-    Bit d of ``reach[e]`` says that ``e`` edits suffice to reach diagonal d - threshold of the row.
+    Entry d of ``reach`` is the place in the left string furthest along diagonal d - threshold - 1, where the place in the
+    right one is that much more.
     """
-    n = len(left)
-    band = 2 * threshold + 1
-    result = np.zeros(n, bool)
+    result = np.zeros(len(left), bool)
     a, b = Letters(left), Letters(right)
     p = np.frombuffer("".join(left).encode("utf-32-le", "surrogatepass"), "<u4")
     q = np.frombuffer("".join(right).encode("utf-32-le", "surrogatepass"), "<u4")
     live = np.flatnonzero(np.abs(a.lengths - b.lengths) <= threshold)
-    # Row 0: column j costs j insertions. Columns are row + d - threshold.
-    reach = np.zeros((threshold + 1, len(live)), np.uint64)
-    for e in range(threshold + 1):
-        for d in range(threshold, threshold + e + 1):
-            reach[e] |= np.uint64(1 << d)
-    full = np.uint64((1 << band) - 1)
-    row = 0
-    while len(live):
-        done = a.lengths[live] == row
-        if done.any():
-            ended = live[done]
-            goal = (b.lengths[ended] - a.lengths[ended] + threshold).astype(np.uint64)
-            result[ended] = (reach[threshold][done] >> goal & np.uint64(1)).astype(bool)
-            live, reach = live[~done], reach[:, ~done]
-        if not len(live):
-            break
-        letter = p[a.starts[live] + row]
-        equal = np.zeros(len(live), np.uint64)
-        for d in range(band):
-            column = row + d - threshold
-            there = (column >= 0) & (column < b.lengths[live])
-            at = np.where(there, b.starts[live] + column, 0)
-            equal |= ((q[at] == letter) & there).astype(np.uint64) << np.uint64(d)
-        new = np.zeros_like(reach)
-        for e in range(threshold + 1):
-            new[e] = reach[e] & equal                           # same letter: same diagonal
-            if e:
-                new[e] |= reach[e - 1] | reach[e - 1] >> np.uint64(1)  # another letter; one dropped
-                new[e] |= new[e - 1] | (new[e - 1] << np.uint64(1)) & full  # one put in
-        row += 1
-        open_ = new[threshold] != 0
-        live, reach = live[open_], new[:, open_]
+    nowhere = -1 << 40
+    reach = np.full((2 * threshold + 3, len(live)), nowhere)
+    for edits in range(threshold + 1):
+        new = np.full_like(reach, nowhere)
+        long_a, long_b = a.lengths[live], b.lengths[live]
+        for diagonal in range(-edits, edits + 1):
+            d = diagonal + threshold + 1
+            # Another letter, one dropped, one put in; at the ends of the strings there is nothing further.
+            at = np.maximum(np.maximum(reach[d], reach[d + 1]) + 1, reach[d - 1]) if edits else np.zeros(len(live), np.int64)
+            end = np.minimum(long_a, long_b - diagonal)
+            at = np.minimum(at, end)
+            there = np.flatnonzero(at >= max(0, -diagonal))
+            i = at[there]
+            new[d, there] = i + agreeing(p, q, a.starts[live[there]] + i, b.starts[live[there]] + i + diagonal, end[there] - i)
+        done = new[long_b - long_a + threshold + 1, np.arange(len(live))] == long_a
+        result[live[done]] = True
+        live, reach = live[~done], new[:, ~done]
     return result
 
 

@@ -150,6 +150,51 @@ class TestLineJoin:
                 if 0 < distance(strings[a], strings[b]) <= few(strings[a], strings[b], threshold):
                     assert index[a] & every[b] or index[b] & every[a]
 
+    def test_length_classes_meet(self):
+        """Pairs on both sides of the bounds between classes of lengths share a key, one side indexed, and pass by their numbers."""
+        draw = random.Random(31)
+        for threshold in (1, 2, 3):
+            strings = []
+            for n in [*range(10, 36), *range(60, 84), *range(125, 147)] * 8:
+                one = "".join(draw.choice("abcdefgh") for _ in range(n))
+                strings += [one, typos(draw, one, draw.randint(1, threshold))]
+            letters = line_join.Letters(strings)
+            numbers = line_join.number([line_join.digest(x.encode()) for x in strings], letters.lengths).tolist()
+            row, key, role = line_join.meetings(letters, threshold)
+            held = {*zip(row.tolist(), key.tolist(), strict=True)}
+            index = {*zip(row[role == 0].tolist(), key[role == 0].tolist(), strict=True)}
+            only, same, _ = line_join.meetings(letters, threshold, probes=False)
+            assert index == {*zip(only.tolist(), same.tolist(), strict=True)}
+            keys: dict = {}
+            for r, k in held:
+                keys.setdefault(r, set()).add(k)
+            for a in range(0, len(strings), 2):
+                b = a + 1
+                if 0 < distance(strings[a], strings[b]) <= few(strings[a], strings[b], threshold):
+                    assert any((a, k) in index or (b, k) in index for k in keys[a] & keys[b])
+                    assert line_join.as_long(numbers[a], numbers[b], threshold)
+
+    def test_few_rows_a_line(self):
+        """One substring serves for all lengths of a class: at three edits 8 rows, a second class's where lengths border on it."""
+        draw = random.Random(32)
+        strings = ["".join(draw.choice("abcdefgh") for _ in range(n)) for n in range(100, 420)]
+        row, _, _ = line_join.meetings(line_join.Letters(strings), 3)
+        assert len(row) <= 10 * len(strings) and np.bincount(row).max() <= 16
+
+    def test_lines_of_other_lengths_make_no_pairs(self, spark):
+        """Lines of one start whose lengths differ by more than the edits meet by a key, but are no candidates."""
+        start = prose(random.Random(33), 40)[:144]
+        docs = spark.createDataFrame([(i, start + "xyzuv"[i] * (5 * i)) for i in range(4)], "doc_id long, text string")
+        assert line_join.bucketed(docs).count() == 0
+
+    def test_long_runs_of_equal_letters(self):
+        """Edits far apart in long strings, and none: the runs between them end where they should."""
+        draw = random.Random(34)
+        base = prose(draw, 2000)
+        one = "é" + base[1:4000] + base[4001:-1]
+        left, right = [base, base, "", base, "a" * 5000], [base, one, "", base[4:], "a" * 4997]
+        assert [line_join.within(left, right, t).tolist() for t in (2, 3)] == [[True, False, True, False, False], [True, True, True, False, True]]
+
     def test_letter_counts_bound_edits(self):
         draw = random.Random(10)
         strings = ["".join(draw.choice("abcdé") for _ in range(draw.randint(0, 300))) for _ in range(200)]
