@@ -243,7 +243,8 @@ def classes_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     first = staged(verified(pairs, texts, similarity), "links")
     by_hub = components(first)
     more = _rest_of_clusters(members, by_hub, texts, similarity)
-    nodes = components(first.unionByName(staged(more, "more-links")))
+    # What hangs on hubs has been settled: only the links between classes are new.
+    nodes = components(by_hub.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(staged(more, "more-links")))
     for done in (members, pairs, wanted, texts):
         removed(done)
     return found.select("doc_id", "link"), nodes

@@ -50,6 +50,21 @@ class TestComponents:
     def test_empty(self, spark):
         assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
+    @pytest.mark.parametrize(("edges", "most"), [([(1, 5), (6, 1), (2, 9), (9, 2), (3, 3)], 1), ([(k, k + 1) for k in range(30)], 6)])
+    def test_ends_without_a_round_that_changes_nothing(self, spark, monkeypatch, edges, most):
+        written = []
+        staged = components.staged
+        monkeypatch.setattr(components, "staged", lambda df, name: written.append(name) or staged(df, name))
+        got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(written) <= most
+        nodes = {x for a, b in edges for x in (a, b) if a != b}
+        want = {x: min(one) for one in classes([(a, b) for a, b in edges if a != b], nodes) for x in one}
+        assert sorted((r.node, r.root) for r in got) == sorted(want.items())
+
+    def test_shuffles_of_a_round(self, spark):
+        round_ = components._small_star(components._large_star(spark.createDataFrame([(2, 1)], "a long, b long")))
+        assert round_._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 7
+
 
 class TestNearDuplicates:
     def test_signature_is_unbiased(self):
